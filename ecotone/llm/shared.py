@@ -62,15 +62,8 @@ def range_bucket(df: DataFrame, key: str, rows: int, most: int = 8192) -> tuple[
         return df.withColumn("_bucket", F.lit(0)), cuts
     # how many cut points lie at or below the key, by binary search over a literal array
     bound = F.lit(cuts)
-    steps = max(1, len(cuts).bit_length())
-    low = F.aggregate(
-        F.sequence(F.lit(steps - 1), F.lit(0), F.lit(-1)) if steps > 1 else F.array(F.lit(0)),
-        F.lit(0),
-        lambda a, s: F.when(
-            (a + F.shiftleft(F.lit(1), s) <= len(cuts)) & (F.try_element_at(bound, a + F.shiftleft(F.lit(1), s)) <= F.col(key)),
-            a + F.shiftleft(F.lit(1), s),
-        ).otherwise(a),
-    )
+    powers = F.lit([1 << i for i in reversed(range(len(cuts).bit_length()))])
+    low = F.aggregate(powers, F.lit(0), lambda a, p: F.when(F.try_element_at(bound, a + p) <= F.col(key), a + p).otherwise(a))
     return df.withColumn("_bucket", F.coalesce(low, F.lit(0))), cuts
 
 
