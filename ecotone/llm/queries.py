@@ -5,26 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ecotone.llm import mixing, urls
+from ecotone.llm import bpe, chat, fingerprint, mixing, simhash, suffixes, toxicity, urls, vectors
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tokenizer() -> tuple[dict, str]:
+    """Ranks and pattern of the tokenizer that the queries use; its file is installed beside the engine, not part of it."""
     import public_tokenizers
 
-    from ecotone.llm import bpe
+    return bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
 
-    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return bpe.round_trip(_read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(_read(spark, sf_dir, "documents"), *tokenizer())
 
-def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ecotone.llm import toxicity
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judged(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels"))
 
 
@@ -32,15 +33,15 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_read(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
 
 
-def op5_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ecotone.llm import vectors
+def op4_suffix_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.passages(_read(spark, sf_dir, "documents"))
+
 
+def op5_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(_read(spark, sf_dir, "embeddings"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ecotone.llm import simhash
-
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
@@ -53,18 +54,12 @@ ADDED = (-7, "\\### Assistant: </turn> ok")
 
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
-    from ecotone.llm import chat
-
     rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     added = spark.range(2).select(F.lit(ADDED[0]).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(ADDED[1]).alias("text"))
     return chat.digest(chat.format_chats(rows.unionByName(added)))
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ecotone.llm import fingerprint
-
     return fingerprint.near_edited(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
@@ -72,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_toxicity": op2_toxicity,
     "op3_url_filters": op3_url_filters,
+    "op4_suffix_passages": op4_suffix_passages,
     "op5_embedding_duplicates": op5_embedding_duplicates,
     "op6_simhash": op6_simhash,
     "op7_mixing": op7_mixing,
