@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ecotone.llm.shared import GAPS, range_bucket
+from ecotone.llm.shared import GAPS, literal_rows, range_bucket
 
 K = 128
 WIDTH = 5
@@ -91,7 +91,7 @@ def with_next(df: DataFrame, key: str, payload: list[str], rows: int = 1024) ->
         return df.select(key, *payload, *(F.col(c).alias(f"next_{c}") for c in payload))
     kind = df.schema[key].dataType.simpleString()
     serves = [(heads[i - 1][0], h) for i, (_, h) in enumerate(heads)]
-    small = df.sparkSession.createDataFrame(serves, f"_to int, _head {kind}")  # a row for each bucket, at most 8192
+    small = literal_rows(df.sparkSession, [{"_to": a, "_head": b} for a, b in serves], f"_to int, _head {kind}")  # a row for each bucket, at most 8192
     copies = dealt.drop("_bucket").join(F.broadcast(small), F.col(key).eqNullSafe(F.col("_head")))
     copies = copies.select(key, *payload, F.col("_to").alias("_bucket"), F.lit(1).alias("_copy"))
     both = dealt.withColumn("_copy", F.lit(0)).unionByName(copies)

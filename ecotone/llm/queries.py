@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ecotone.llm import bpe, chat, fingerprint, mixing, simhash, suffixes, toxicity, urls, vectors
+from ecotone.llm import bpe, chat, fingerprint, licenses, mixing, simhash, suffixes, toxicity, urls, vectors
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -49,6 +49,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"))
 
 
+def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_read(spark, sf_dir, "documents"))
+
+
 #: The conversation that the contract adds: texts that hold template strings.
 ADDED = (-7, "\\### Assistant: </turn> ok")
 
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_embedding_duplicates": op5_embedding_duplicates,
     "op6_simhash": op6_simhash,
     "op7_mixing": op7_mixing,
+    "op8_license_scans": op8_license_scans,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_fingerprints": op10_fingerprints,
 }

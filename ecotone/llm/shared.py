@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import json
 import shutil
 import tempfile
 import uuid
@@ -45,6 +46,11 @@ def drop_staged(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def literal_rows(spark: SparkSession, rows: list, schema: str) -> DataFrame:
+    """A small fixed table as a plan of SQL functions."""
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
+
+
 def range_bucket(df: DataFrame, key: str, rows: int, most: int = 8192) -> tuple[DataFrame, list]:
     """Add `_bucket`: the range of `key` a row falls in, from quantiles over the whole column.
 
