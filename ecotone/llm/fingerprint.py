@@ -74,7 +74,7 @@ def as_text(a: Column) -> Column:
 
 def fingerprints(df: DataFrame, text: str = "text", k: int = K) -> DataFrame:
     """df with `sketch`, `fingerprint` and `distinct_shingles`."""
-    got = df.withColumn("_w", word_hashes(F.col(text))).withColumn("sketch", shingle_sketch(F.col("_w"), k)).drop("_w")
+    got = df.withColumn("__w", word_hashes(F.col(text))).withColumn("sketch", shingle_sketch(F.col("__w"), k)).drop("__w")
     return got.withColumns({"fingerprint": as_text(F.col("sketch")), "distinct_shingles": distinct_count(F.col("sketch"), k)})
 
 

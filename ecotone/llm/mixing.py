@@ -123,21 +123,18 @@ def mixed_texts(df: DataFrame, key: str = "doc_id", text: str = "text", source:
     sizes = sized(df, key, text, source)
     sources = stage(targets(sizes), "mix-sources")
     parts = segments(placed(sizes, sources)).join(draw(sources).select("s", "block_no", "turn"), ["s", "block_no"])
-    spans = parts.groupBy("doc_id", "h", "start", "turn").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("_spans"))
-    spans = spans.groupBy("doc_id", "h", "start").agg(F.array_sort(F.collect_list(F.struct("turn", "_spans"))).alias("_turns"))
-    spans = spans.withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id", "h").orderBy("start"))).drop("start")
-    rows = df.withColumns({"h": F.xxhash64(text)}).withColumn("_copy", F.lit(1))
-    rows = _numbered(rows, key)
-    got = rows.join(spans.withColumnRenamed("doc_id", "_id"), F.col(key).eqNullSafe(F.col("_id")) & (rows["h"] == spans["h"]) & (rows["_copy"] == spans["_copy"]))
-    got = got.withColumn("_words", F.regexp_extract_all(F.col(text), F.lit(f"(?:{GAPS})?{WORD}"), F.lit(0))).withColumn("_turn", F.explode("_turns"))
-    new = F.array_join(F.flatten(F.transform(F.col("_turn._spans"), lambda x: F.slice(F.col("_words"), (x["lo"] + 1).cast("int"), (x["hi"] - x["lo"]).cast("int")))), "")
-    out = got.select(*(new.alias(text) if c == text else rows[c] for c in df.columns))
-    return out.withColumn("n_chars", F.length(text).cast("long")) if "n_chars" in df.columns else out
-
-
-def _numbered(rows: DataFrame, key: str) -> DataFrame:
-    """Number repeated rows of one id and text 1, 2, ...; rows of an id meet in one task, the id's repeats only."""
-    return rows.withColumn("_copy", F.row_number().over(Window.partitionBy(key, "h").orderBy(F.lit(0))))
+    spans = parts.groupBy("doc_id", "h", "start", "turn").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
+    spans = spans.groupBy("doc_id", "h", "start").agg(F.array_sort(F.collect_list(F.struct("turn", "spans"))).alias("turns"))
+    # repeated rows of an id and text have a place each in the stream; the copies are dealt to them in order
+    spans = spans.groupBy(F.struct("doc_id", "h").alias("__key")).agg(F.array_sort(F.collect_list(F.struct("start", "turns"))).alias("__copies"))
+    rows = df.select(F.struct(F.col(key).alias("doc_id"), F.xxhash64(text).alias("h")).alias("__key"), F.struct(*df.columns).alias("__row"), F.col(text).alias("__text"))
+    rows = rows.withColumn("__copy", F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(0))))
+    got = rows.join(spans, "__key").withColumn("__turns", F.get("__copies", F.col("__copy") - 1)["turns"])
+    got = got.select("__row", F.regexp_extract_all("__text", F.lit(f"(?:{GAPS})?{WORD}"), F.lit(0)).alias("__words"), F.explode("__turns").alias("__turn"))
+    new = F.array_join(F.flatten(F.transform(F.col("__turn.spans"), lambda x: F.slice(F.col("__words"), (x["lo"] + 1).cast("int"), (x["hi"] - x["lo"]).cast("int")))), "")
+    out = got.select("__row", new.alias("__new"))
+    fresh = {text: F.col("__new"), "n_chars": F.length("__new").cast("long")}
+    return out.select(*(fresh.get(c, F.col("__row")[c]).alias(c) for c in df.columns))
 
 
 SQL = """

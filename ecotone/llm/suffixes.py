@@ -316,14 +316,15 @@ def _listed(spans: DataFrame, name: str, words: str) -> DataFrame:
 
 def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """df with every passage kept at its first place only; documents of which nothing is left go. n_chars, where df has it, is that of the new text."""
-    gone = _listed(merged(repeats(df, key, text).where("NOT kept")), "_gone", "_n").select(F.col("id").alias("_id"), F.col("h").alias("_h"), "_gone")
-    both = df.withColumn("_own", F.xxhash64(text)).join(gone, F.col(key).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_h")), "left")
-    words = F.regexp_extract_all(F.col(text), F.lit(f"(?:{GAPS})?{WORD}"), F.lit(0))
-    both = both.withColumn("_words", F.when(F.col("_gone").isNotNull(), words))
-    ends = F.concat(F.array(F.lit(0)), F.transform("_gone", lambda x: x["end"]))
-    starts = F.concat(F.transform("_gone", lambda x: x["start"]), F.array(F.size("_words")))
-    parts = F.transform(F.arrays_zip(ends.alias("a"), starts.alias("b")), lambda x: F.slice(F.col("_words"), x["a"] + 1, x["b"] - x["a"]))
-    new = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(F.flatten(parts), ""))
-    got = both.withColumn("_new", new).where(F.col("_gone").isNull() | (F.length("_new") > 0))
-    out = got.select(*(F.col("_new").alias(text) if c == text else F.col(c) for c in df.columns))
-    return out.withColumn("n_chars", F.length(text).cast("long")) if "n_chars" in df.columns else out
+    gone = _listed(merged(repeats(df, key, text).where("NOT kept")), "__gone", "__n").select(F.struct("id", "h").alias("__key"), "__gone")
+    rows = df.select(F.struct(F.col(key).alias("id"), F.xxhash64(text).alias("h")).alias("__key"), F.struct(*df.columns).alias("__row"), F.col(text).alias("__text"))
+    both = rows.join(gone, "__key", "left")
+    words = F.regexp_extract_all("__text", F.lit(f"(?:{GAPS})?{WORD}"), F.lit(0))
+    both = both.select("__row", "__text", "__gone", F.when(F.col("__gone").isNotNull(), words).alias("__words"))
+    ends = F.concat(F.array(F.lit(0)), F.transform("__gone", lambda x: x["end"]))
+    starts = F.concat(F.transform("__gone", lambda x: x["start"]), F.array(F.size("__words")))
+    parts = F.transform(F.arrays_zip(ends.alias("a"), starts.alias("b")), lambda x: F.slice(F.col("__words"), x["a"] + 1, x["b"] - x["a"]))
+    new = F.when(F.col("__gone").isNull(), F.col("__text")).otherwise(F.array_join(F.flatten(parts), ""))
+    got = both.select("__row", "__gone", new.alias("__new")).where(F.col("__gone").isNull() | (F.length("__new") > 0))
+    fresh = {text: F.col("__new"), "n_chars": F.when(F.col("__gone").isNull(), F.col("__row")["n_chars"]).otherwise(F.length("__new").cast("long")) if "n_chars" in df.columns else None}
+    return got.select(*((F.col("__row")[c] if fresh.get(c) is None else fresh[c]).alias(c) for c in df.columns))

@@ -119,10 +119,10 @@ def judge(df: DataFrame, url: str = "url", rules=HOST_RULES, block=BLOCK_GLOBS)
     names = [h + p for _, (_, h, p) in plan]
     verdicts = [v for _, (v, _, _) in plan]
     kept = [c for c in df.columns if c not in ("host", "path", "rule", "verdict")]
-    cut = df.withColumn("_url", F.coalesce(F.col(url), F.lit("")))
-    cut = cut.withColumn("_rest", F.expr("CASE WHEN instr(_url, '://') > 0 THEN substring(_url, instr(_url, '://') + 3) ELSE '' END"))
-    cut = cut.withColumn("_host", F.regexp_extract("_rest", "^[^/?#]*", 0))
-    cut = cut.select(*kept, F.translate("_host", UPPER, LOWER).alias("host"), F.regexp_extract(F.expr("substring(_rest, length(_host) + 1)"), "^[^?#]*", 0).alias("path"))
+    cut = df.withColumn("__url", F.coalesce(F.col(url), F.lit("")))
+    cut = cut.withColumn("__rest", F.expr("CASE WHEN instr(__url, '://') > 0 THEN substring(__url, instr(__url, '://') + 3) ELSE '' END"))
+    cut = cut.withColumn("__host", F.regexp_extract("__rest", "^[^/?#]*", 0))
+    cut = cut.select(*kept, F.translate("__host", UPPER, LOWER).alias("host"), F.regexp_extract(F.expr("substring(__rest, length(__host) + 1)"), "^[^?#]*", 0).alias("path"))
     schema = f"{cut.schema.simpleString()[7:-1]}, rule: string, verdict: string"
 
     def run(batches):
