@@ -29,7 +29,7 @@ GRAM = 10
 LEFT = LENGTH - GRAM
 #: Characters hashed at a time.
 CHUNK = 1_000_000
-#: Members of a group that are held at a time; the smallest goes on to the next lot.
+#: Members of a group that are held at a time; the smallest stays for the next lot.
 HELD = 20_000
 RANGE_ROWS = 20_000
 #: Earlier groups of the same sample point that a suffix without a matching neighbour is also compared with.
@@ -170,16 +170,29 @@ def _common(a: bytes, b: bytes) -> int:
     return lo
 
 
+class Group:
+    """Neighbouring suffixes with `left` words before and `right` words on in common."""
+
+    __slots__ = ("members", "left", "right")
+
+    def __init__(self, members: list, left: int, right: int):
+        self.members, self.left, self.right = members, left, right
+
+
 class Runs:
-    """Takes sorted suffixes one at a time; `out` gets (id, h, start, end, kept, owner id) of each group's members."""
+    """Takes sorted suffixes one at a time; `out` gets (id, h, start, end, kept, owner id) of each group's members.
+
+    Groups nest as the intervals of a suffix array do: those that have more in
+    common close first, and their smallest member stands for them in the group
+    around.
+    """
 
     def __init__(self):
         self.out: list = []
-        self.ends: list = []  # the smallest member of the first and of the last group
-        self.members: list = []
-        self.left = self.right = 0
+        self.ends: list = []  # the smallest member of the first and of the last outermost group
+        self.stack: list = []
         self.last = None
-        self.recent: list = []  # heads of the groups shortly before, of one k-gram
+        self.recent: list = []  # first members of the groups shortly before, of one k-gram
         self.groups = 0
 
     @staticmethod
@@ -187,48 +200,74 @@ class Runs:
         return (row[3] is not None, row[3] if row[3] is not None else 0, row[4], row[5])
 
     def add(self, row) -> None:
-        if self.last is not None and self.last[0] == row[0]:
-            near_left, near_right = _common(self.last[2], row[2]), _common(self.last[1], row[1])
-            left, right = min(self.left, near_left), min(self.right, near_right)
+        before, self.last = self.last, row
+        if before is not None and before[0] == row[0]:
+            left, right = _common(before[2], row[2]), _common(before[1], row[1])
             if left + right >= LENGTH:
-                if len(self.members) >= HELD:
-                    self.close(end=False)
-                self.members.append(row)
-                self.left, self.right, self.last = left, right, row
-                return
-            if near_left + near_right >= LENGTH:  # the neighbour matches, the group as a whole does not: a new group of the two
-                before = self.last
-                self.close()
-                self.members, self.left, self.right, self.last = [before, row], near_left, near_right, row
+                self.join(before, row, left, right)
                 return
         self.close()
-        if self.last is None or self.last[0] != row[0]:
+        if before is None or before[0] != row[0]:
             self.recent = []
         best, other = LENGTH - 1, None
-        for before in self.recent:
-            if (n := _common(before[2], row[2]) + _common(before[1], row[1])) > best:
-                best, other = n, before
+        for near in self.recent:
+            if (n := _common(near[2], row[2]) + _common(near[1], row[1])) > best:
+                best, other = n, near
         if other is not None:  # no neighbour, but one of those shortly before matches
-            self.members, self.left, self.right = [other, row], _common(other[2], row[2]), _common(other[1], row[1])
-            self.close(end=False)
+            self.report(Group([other, row], _common(other[2], row[2]), _common(other[1], row[1])))
         self.recent = [*self.recent[1 - NEAR :], row]
-        self.members, self.left, self.right, self.last = [row], LEFT, LENGTH, row
-
-    def close(self, end: bool = True) -> None:
-        """Report the group; when it only has grown too long to hold, its smallest member stays in it."""
-        if not self.members:
-            return
-        owner = min(self.members, key=self.order)
-        if len(self.members) > 1:
-            for m in self.members:
-                self.out.append((m[3], m[4], m[5] - self.left, m[5] + self.right, m is owner, owner[3]))
-        self.members = [owner]
-        if end:
+        self.stack = [Group([row], LEFT, LENGTH)]
+
+    def join(self, before, row, left: int, right: int) -> None:
+        """Put row, which has this much in common with the one before it, into the groups."""
+        near = (before, left, right)
+        while True:
+            top = self.stack[-1]
+            if len(top.members) == 1:
+                top.members.append(row)
+                top.left, top.right = min(top.left, left), min(top.right, right)
+                return
+            lower = (min(top.left, left), min(top.right, right))
+            if lower == (top.left, top.right):
+                if (left, right) == lower:
+                    top.members.append(row)
+                    if len(top.members) > HELD:
+                        top.members = list({id(m): m for m in (self.report(top), row)}.values())
+                else:
+                    self.stack.append(Group([before, row], left, right))
+                return
+            before = self.report(self.stack.pop())
+            left, right = lower
+            if left + right < LENGTH:  # the group as a whole does not match, its last member does
+                if self.stack:
+                    self.stack[-1].members.append(before)
+                self.close()
+                self.stack = [Group([near[0], row], near[1], near[2])]
+                return
+            if not self.stack:
+                self.stack = [Group([before, row], left, right)]
+                return
+            self.stack[-1].members.append(before)
+
+    def report(self, group: Group):
+        """Put out a group's members; returns the smallest, which keeps its stretch."""
+        owner = min(group.members, key=self.order)
+        if len(group.members) > 1:
+            for m in {id(m): m for m in group.members}.values():
+                self.out.append((m[3], m[4], m[5] - group.left, m[5] + group.right, m is owner, owner[3]))
+        return owner
+
+    def close(self) -> None:
+        """Report all open groups."""
+        owner = None
+        while self.stack:
+            top = self.stack.pop()
+            if owner is not None:
+                top.members.append(owner)
+            owner = self.report(top)
+        if owner is not None:
             self.groups += 1
-            if self.groups == 1:
-                self.ends = [owner]
-            else:
-                self.ends = [self.ends[0], owner]
+            self.ends = [owner] if self.groups == 1 else [self.ends[0], owner]
 
 
 def matches(sorted_rows: DataFrame) -> DataFrame:
@@ -280,7 +319,7 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     edges = Runs()
     for e in found.where("edge IS NOT NULL").orderBy("edge").select("g", "r", "l", "id", "h", "pos").collect():
         row = (e["g"], bytes(e["r"]), bytes(e["l"]), e["id"], e["h"], e["pos"])
-        if edges.members and row == edges.last:
+        if row == edges.last:
             continue
         edges.add(row)
     edges.close()
