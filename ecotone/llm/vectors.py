@@ -2,11 +2,12 @@
 
 Equal vectors of a label are one row from the start.  Each distinct vector,
 scaled to length one, stands in the list of its nearest centroid, with its
-residual coded in subspaces and the coding error kept.  A query visits every
-list whose cell comes within the link distance of it: the test by the bisecting
-plane loses none.  There a table lookup gives its distance to each code, and
-whatever is within the link distance plus the code's error is compared exactly
-in double precision.  Lists are cut to bounded cells; a cell gives a count of
+residual coded in subspaces and the coding error kept.  A vector visits every
+list whose cell comes within half the link distance of it: of two linked
+vectors at least one lies that close to the plane between their lists, so no
+link is lost, and a link that both find counts in one list.  In a list a table
+lookup gives a vector's distance to each code, and whatever is within the link
+distance plus the code's error is compared exactly in double precision.  Lists are cut to bounded cells; a cell gives a count of
 links per vector and a spanning forest of its links.
 
 Rows link only with equal labels and equal vector lengths.  Null labels, null,
@@ -29,6 +30,10 @@ SAMPLE = 8192
 SUBSPACES = 8
 CODES = 256
 BLOCK = 768
+#: Vectors of a list, on average over all labels.
+LISTED = 400
+#: For rounding in the test of reach.
+SLACK = 1e-9
 
 
 def _kmeans(x, k: int, rounds: int = 12):
@@ -74,7 +79,7 @@ def valid(vector):
 
 
 def index(distinct: DataFrame, centroids, books, size: int, distance: float) -> DataFrame:
-    """(rep, label, dims, n, list, own, code, err, embedding): each vector in its own list and as a visitor of the lists within reach."""
+    """(rep, label, dims, n, list, home, code, err, embedding): each vector in its own list and as a visitor of the lists within reach."""
     model = distinct.sparkSession.sparkContext.broadcast((centroids, books))
 
     def run(batches):
@@ -97,17 +102,17 @@ def index(distinct: DataFrame, centroids, books, size: int, distance: float) ->
                 for s, (a, b, book) in enumerate(books):
                     code[:, s] = (-2 * rest[:, a:b] @ book.T + (book * book).sum(axis=1)).argmin(axis=1)
                     err += ((rest[:, a:b] - book[code[:, s]]) ** 2).sum(axis=1)
-                reach = (d - d[at, own][:, None]) / (2 * apart[own]) <= distance + 1e-9
+                reach = (d - d[at, own][:, None]) / (2 * apart[own]) <= distance / 2 + SLACK
                 reach[at, own] = True
                 r, c = np.nonzero(reach)
                 take = pa.array(r)
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(n).take(take) for n in ("rep", "label", "dims", "n")), pa.array(c, pa.int32()), pa.array(c == own[r]), pa.array([bytes(v) for v in code[r]], pa.binary()), pa.array(np.sqrt(err)[r]), batch.column("embedding").take(take)],
-                    ["rep", "label", "dims", "n", "list", "own", "code", "err", "embedding"],
+                    [*(batch.column(n).take(take) for n in ("rep", "label", "dims", "n")), pa.array(c, pa.int32()), pa.array(own[r], pa.int32()), pa.array([bytes(v) for v in code[r]], pa.binary()), pa.array(np.sqrt(err)[r]), batch.column("embedding").take(take)],
+                    ["rep", "label", "dims", "n", "list", "home", "code", "err", "embedding"],
                 )
 
     kind, label = distinct.schema["embedding"].dataType.simpleString(), distinct.schema["label"].dataType.simpleString()
-    return distinct.select("rep", "label", "dims", "n", "embedding").mapInArrow(run, f"rep long, label {label}, dims int, n long, list int, own boolean, code binary, err double, embedding {kind}")
+    return distinct.select("rep", "label", "dims", "n", "embedding").mapInArrow(run, f"rep long, label {label}, dims int, n long, list int, home int, code binary, err double, embedding {kind}")
 
 
 def search(cells: DataFrame, centroids, books, size: int, cosine: float) -> DataFrame:
@@ -122,29 +127,37 @@ def search(cells: DataFrame, centroids, books, size: int, cosine: float) -> Data
 
         centroids, books = model.value
         for group in stream_groups(batches, keys):
-            rep, n, own, k, err = (group.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "n", "own", "_k", "err"))
-            i, j = group.column("_i")[0].as_py(), group.column("_j")[0].as_py()
+            rep, n, home, k, err = (group.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "n", "home", "_k", "err"))
+            i, j, here = (group.column(c)[0].as_py() for c in ("_i", "_j", "list"))
             code = np.frombuffer(b"".join(group.column("code").to_pylist()), dtype=np.uint8).reshape(len(rep), -1)
             raw = _unit(group.column("embedding").to_pylist(), size)
-            x = raw - centroids[group.column("list")[0].as_py()]
+            x = raw - centroids[here]
             count = np.zeros(len(rep), dtype=np.int64)
             us, vs = [], []
             for p, q in {(i, j), (j, i)}:
-                ask, has = np.flatnonzero(k == p), np.flatnonzero((k == q) & own)
-                for s in range(0, len(ask), 128):
+                ask, has = np.flatnonzero(k == p), np.flatnonzero((k == q) & (home == here))
+                for s in range(0, len(ask) if len(has) else 0, 128):
                     a = ask[s : s + 128]
                     far = np.zeros((len(a), len(has)))
                     for m, (lo, hi, book) in enumerate(books):
                         table = (x[a, lo:hi] ** 2).sum(axis=1)[:, None] + (book * book).sum(axis=1) - 2 * x[a, lo:hi] @ book.T
                         far += table[:, code[has, m]]
-                    near = np.maximum(far, 0) <= ((distance + err[has]) ** 2 + 1e-9)[None, :]
+                    near = np.maximum(far, 0) <= ((distance + err[has]) ** 2 + SLACK)[None, :]
                     near &= rep[a][:, None] != rep[has][None, :]
                     r, c = np.nonzero(near)
                     for t in range(0, len(r), 32768):
                         y, z = a[r[t : t + 32768]], has[c[t : t + 32768]]
                         hit = np.einsum("ij,ij->i", raw[y], raw[z]) >= cosine
                         y, z = y[hit], z[hit]
+                        guest = home[y] != here
+                        # z also found y as a guest of y's list: the list of the smaller number counts the link
+                        theirs = centroids[home[y]]
+                        gap = np.sqrt(np.maximum(((theirs - centroids[here]) ** 2).sum(axis=1), 1e-18))
+                        away = ((raw[z] - theirs) ** 2).sum(axis=1) - (x[z] ** 2).sum(axis=1)
+                        twice = guest & (away / (2 * gap) <= distance / 2 + SLACK) & (home[y] < here)
+                        y, z, guest = y[~twice], z[~twice], guest[~twice]
                         np.add.at(count, y, n[z])
+                        np.add.at(count, z[guest], n[y[guest]])
                         for u, v in forest(rep[y].tolist(), rep[z].tolist()):
                             us.append(u)
                             vs.append(v)
@@ -158,8 +171,6 @@ def search(cells: DataFrame, centroids, books, size: int, cosine: float) -> Data
 
 def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = 0.98, sample: int = SAMPLE) -> DataFrame:
     """(vec_id, n_links, component_id, kept)."""
-    import numpy as np
-
     rows = df.select(F.col(key).alias("vec_id"), F.col(vector).alias("embedding"), F.col(label).alias("label"))
     rows = rows.withColumn("fine", valid(F.col("embedding")) & F.col("label").isNotNull())
     fine = rows.where("fine")
@@ -168,8 +179,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     if drawn:
         size = distinct.agg(F.max("dims")).head()[0]
         unit = _unit([r["embedding"] for r in drawn], size)
-        labels, total = distinct.agg(F.count_distinct("label"), F.count(F.lit(1))).head()
-        lists = int(max(4, min(1024, np.sqrt(total / labels) / 8)))
+        lists = max(4, min(2048, distinct.count() // LISTED))
         centroids, books = fit(unit, lists)
         cells = block_cells(index(distinct, centroids, books, size, (2 - 2 * cosine) ** 0.5), ["label", "dims", "list"], "rep", BLOCK)
         found = stage(search(cells, centroids, books, size, cosine), "pq-links")
