@@ -631,3 +631,68 @@ def vector_split(spark, sf_dir):
     score = F.transform("u", lambda u, i: F.struct(F.round(u * u / (i + 1) + (F.col("t") - u) * (F.col("t") - u) / (F.col("n") - i - 1), 9).alias("score"), (i + 1).alias("split")))
     best = s.select("vec_id", F.array_max(score).alias("b"))
     return best.select("vec_id", F.col("b.split").alias("split"), F.round("b.score", 6).alias("score"))
+
+
+# set operations, orders, dates
+
+
+@query("SELECT p_size AS id, min(p_partkey) AS first FROM part GROUP BY p_size")
+def ordered_dedup(spark, sf_dir):
+    return products.first_of_each(table(spark, sf_dir, "part").select(F.col("p_size").alias("id"), F.col("p_partkey").alias("first")), "id", "first")
+
+
+@query("""SELECT n_nationkey AS id, n_name AS name, NULL AS balance, 'nation' AS source FROM nation UNION ALL SELECT s_suppkey, s_name, s_acctbal, 'supplier' FROM supplier""")
+def tagged_union(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
+    return products.tagged_union({"nation": n, "supplier": s}).select("id", "name", "balance", "source")
+
+
+@query("""WITH e AS (SELECT DISTINCT c_nationkey + 5 AS k FROM customer), f AS (SELECT DISTINCT n_nationkey AS k FROM nation) SELECT k, 'missing' AS side FROM e WHERE k NOT IN (SELECT k FROM f) UNION ALL SELECT k, 'unexpected' FROM f WHERE k NOT IN (SELECT k FROM e)""")
+def tile_set_difference(spark, sf_dir):
+    return products.set_differences(table(spark, sf_dir, "customer").select((F.col("c_nationkey") + 5).alias("k")), table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k")), "k")
+
+
+@query("""SELECT id, row_number() OVER (ORDER BY TRY_CAST(id AS BIGINT) NULLS LAST, id) AS place FROM (SELECT CASE WHEN s_suppkey % 4 = 0 THEN concat('x', s_suppkey) ELSE CAST(s_suppkey AS VARCHAR) END AS id FROM supplier) t""")
+def numeric_order(spark, sf_dir):
+    from pyspark.sql import Window
+
+    k = F.col("s_suppkey")
+    ids = table(spark, sf_dir, "supplier").select(F.when(k % 4 == 0, F.concat(F.lit("x"), k)).otherwise(k.cast("string")).alias("id"))
+    return ids.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*scalars.numeric_order(F.col("id")))))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y%m%dT%H%M%SZ') AS stamp FROM orders")
+def compact_timestamp(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", scalars.compact_utc(F.col("o_orderdate")).alias("stamp"))
+
+
+def _bundle(spark, sf_dir) -> dict[str, DataFrame]:
+    from ecotone.plans import bundle
+
+    df = lattice(spark, sf_dir)
+    v, p, u = F.col("v"), F.col("p"), F.col("user_id")
+    # mountains are bands of rows; climate cells lie as coarse as the lattice is wide, so that each mountain has enough of them
+    cells = df.select("row_idx", "col_idx", F.when(u % 10 != 0, (F.col("row_idx") / 40).cast("int")).alias("mountain_id"), (v > 6000).cast("int").alias("tree_2000_h3m"), (v > 5000).cast("int").alias("tree_2020_h3m"), (v > 8000).cast("int").alias("tree_2000_h5m"), (p > 30_000_000).cast("int").alias("tree_2020_h5m"), F.col("z").cast("int").alias("elevation"), (u % 50).alias("landform"), (u % 4).alias("dem_msk"), (u % 3).alias("dem_stk"), F.lit(0.75).alias("hm_fraction"), F.lit(0.25).alias("tree_fraction"))
+    climate = regrid.overlaps(cells.select("row_idx", "col_idx")).select("crow", "ccol").distinct().withColumn("bio01_raw", (2750 + F.col("crow") * 7 + F.col("ccol") * 3).cast("int"))
+    return bundle.mountain_bundle(cells, climate, samples=2)
+
+
+@query()
+def mountain_treeline30m(spark, sf_dir):
+    return _bundle(spark, sf_dir)["treeline30m"]
+
+
+@query()
+def mountain_treeline1km(spark, sf_dir):
+    return _bundle(spark, sf_dir)["treeline1km"]
+
+
+@query()
+def mountain_qa30m(spark, sf_dir):
+    return _bundle(spark, sf_dir)["qa30m"]
+
+
+@query()
+def mountain_thresholds(spark, sf_dir):
+    return _bundle(spark, sf_dir)["thresholds"]

@@ -101,3 +101,23 @@ def pyramid(df: DataFrame, means: list[str], modes: list[str], level: int = 1) -
 def treeline(df: DataFrame, elevation: str = "elevation", upper_band: str = "upper") -> DataFrame:
     """df with `treeline`: the elevation at upper edges."""
     return df.withColumn("treeline", update_mask(F.col(elevation), F.col(upper_band)))
+
+
+def tagged_union(parts: dict[str, DataFrame], tag: str = "source") -> DataFrame:
+    """All rows of several tables with the name of their source."""
+    out = None
+    for name, df in parts.items():
+        one = df.withColumn(tag, F.lit(name))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out
+
+
+def first_of_each(df: DataFrame, key: str, order: str) -> DataFrame:
+    """Requested ids in order of first request, each once."""
+    return df.groupBy(key).agg(F.min(order).alias(order)).orderBy(order)
+
+
+def set_differences(expected: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """(key, side): what only one of two sets has."""
+    a, b = expected.select(key).distinct(), found.select(key).distinct()
+    return a.join(b, key, "left_anti").withColumn("side", F.lit("missing")).unionByName(b.join(a, key, "left_anti").withColumn("side", F.lit("unexpected")))
