@@ -3,12 +3,15 @@
 Of every stretch of LENGTH words the k-gram of least hash is a sample point, so
 two equal stretches have the same one.  Sample points whose k-gram occurs once
 are done with.  The suffixes at the others, as far as they matter (LENGTH words
-on, and the words before it back to LENGTH), are sorted over the whole cluster
-by range; neighbours are compared, and their matches extend right and left from
-the sample point.  Runs of neighbours that have a common stretch of LENGTH
-words or more make a group: the smallest (id, place) keeps its stretch, the
-others are repeats of it.  Ranges cut through any group, however large; the
-groups at their ends are matched in a last step, two rows for each range.
+on, and the words before it back to LENGTH), are sorted: those of one k-gram
+together, or by range over the cluster where it has more than HOT.  Neighbours
+are compared, and their matches extend right and left from the sample point.
+Neighbours that have a common stretch of LENGTH words or more make groups,
+nested by how much they have in common: the smallest (id, place) keeps its
+stretch, the others are repeats of it.  Ranges cut through any group, however
+large; the groups at their ends are matched in a last step, two rows for each
+range.  A suffix that matches no neighbour is compared with NEAR before it; a
+stretch that only two still more distant suffixes share can be missed.
 
 Passages are equal word by word (runs of non-space characters); words are
 compared by 32 bits of their hashes, sample points by 64.  Repeats within one
@@ -21,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ecotone.llm.shared import GAPS, WORD, stage
+from ecotone.llm.shared import GAPS, WORD, stage, worker_cache
 
 #: Words of the shortest passage, and of a sample point's k-gram.
 LENGTH = 50
@@ -31,7 +34,10 @@ LEFT = LENGTH - GRAM
 CHUNK = 1_000_000
 #: Members of a group that are held at a time; the smallest stays for the next lot.
 HELD = 20_000
+#: Sample points of a k-gram from which it is sorted by range, rows of such a range, and ranges at most.
+HOT = 20_000
 RANGE_ROWS = 20_000
+MOST_RANGES = 2048
 #: Earlier groups of the same sample point that a suffix without a matching neighbour is also compared with.
 NEAR = 32
 
@@ -113,6 +119,7 @@ def grams(docs: DataFrame) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
+        worker_cache("suffixes")
         for batch in batches:
             for start, texts in _chunks(batch.column(2)):
                 words, counts = word_hashes(texts)
@@ -127,13 +134,13 @@ def grams(docs: DataFrame) -> DataFrame:
 
 
 def suffixes(docs: DataFrame) -> DataFrame:
-    """(g, r, l, id, h, pos): for (id, h, text, at) the words from each sample point on and those before it, nearest first."""
+    """(g, r, l, id, h, pos, hot): for (id, h, text, at) the words from each sample point on and those before it, nearest first."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        names = ["g", "r", "l", "id", "h", "pos"]
+        names = ["g", "r", "l", "id", "h", "pos", "hot"]
         for batch in batches:
             at = batch.column(3).to_pylist()
             for start, texts in _chunks(batch.column(2)):
@@ -145,14 +152,14 @@ def suffixes(docs: DataFrame) -> DataFrame:
                     forth, back = own.tobytes(), own[::-1].tobytes()
                     for p in at[start + k]:
                         pos = p["pos"]
-                        out.append((p["g"], forth[4 * pos : 4 * (pos + LENGTH)], back[4 * (n - pos) : 4 * (n - pos + LEFT)], start + k, pos))
+                        out.append((p["g"], forth[4 * pos : 4 * (pos + LENGTH)], back[4 * (n - pos) : 4 * (n - pos + LEFT)], start + k, pos, p["hot"]))
                     first += n
                 if out:
-                    g, r, le, d, pos = zip(*out, strict=True)
+                    g, r, le, d, pos, hot = zip(*out, strict=True)
                     take = pa.array(d)
-                    yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(r, pa.binary()), pa.array(le, pa.binary()), batch.column(0).take(take), batch.column(1).take(take), pa.array(pos, pa.int32())], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(r, pa.binary()), pa.array(le, pa.binary()), batch.column(0).take(take), batch.column(1).take(take), pa.array(pos, pa.int32()), pa.array(hot)], names)
 
-    return docs.mapInArrow(run, f"g long, r binary, l binary, id {docs.schema['id'].dataType.simpleString()}, h long, pos int")
+    return docs.mapInArrow(run, f"g long, r binary, l binary, id {docs.schema['id'].dataType.simpleString()}, h long, pos int, hot boolean")
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -307,14 +314,20 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     """(id, h, start, end, kept, owner): word ranges of documents that other places repeat; h is the text's hash."""
     docs = df.select(F.col(key).alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
     points = stage(grams(docs.where(F.length("text") >= 2 * LENGTH - 1)), "suffix-points")
-    often = points.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    at = points.join(often, "g").groupBy("id", "h").agg(F.collect_set(F.struct("pos", "g")).alias("at"))
-    n = points.count()
+    often = points.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("hot", F.col("n") > HOT)
+    at = points.join(often, "g").groupBy("id", "h").agg(F.collect_set(F.struct("pos", "g", "hot")).alias("at"))
     some = docs.join(at.withColumnsRenamed({"id": "_id", "h": "_h"}), F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).select("id", "h", "text", "at")
-    ranges = max(1, min(20_000, -(-n // RANGE_ROWS)))
     order = ["g", "r", "l", "id", "h", "pos"]
-    ranked = suffixes(some).repartitionByRange(ranges, *order).sortWithinPartitions(*order)
-    found = stage(matches(ranked), "suffix-matches")
+    rows, hot = suffixes(some), often.where("hot").agg(F.sum("n")).head()[0]
+    if hot:
+        rows = stage(rows, "suffix-rows")
+    # groups never cross k-grams, so only frequent ones need ranges that cut through them
+    ranked = rows.where("NOT hot").drop("hot").repartition("g").sortWithinPartitions(*order)
+    found = matches(ranked).where("edge IS NULL")
+    if hot:
+        ranges = max(2, min(MOST_RANGES, -(-hot // RANGE_ROWS)))
+        found = found.unionByName(matches(rows.where("hot").drop("hot").repartitionByRange(ranges, *order).sortWithinPartitions(*order)))
+    found = stage(found, "suffix-matches")
     # the groups at the ranges' ends: two rows of 400 bytes for each range
     edges = Runs()
     for e in found.where("edge IS NOT NULL").orderBy("edge").select("g", "r", "l", "id", "h", "pos").collect():
@@ -359,11 +372,11 @@ def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     rows = df.select(F.struct(F.col(key).alias("id"), F.xxhash64(text).alias("h")).alias("__key"), F.struct(*df.columns).alias("__row"), F.col(text).alias("__text"))
     both = rows.join(gone, "__key", "left")
     words = F.regexp_extract_all("__text", F.lit(f"(?:{GAPS})?{WORD}"), F.lit(0))
-    both = both.select("__row", "__text", "__gone", F.when(F.col("__gone").isNotNull(), words).alias("__words"))
     ends = F.concat(F.array(F.lit(0)), F.transform("__gone", lambda x: x["end"]))
-    starts = F.concat(F.transform("__gone", lambda x: x["start"]), F.array(F.size("__words")))
-    parts = F.transform(F.arrays_zip(ends.alias("a"), starts.alias("b")), lambda x: F.slice(F.col("__words"), x["a"] + 1, x["b"] - x["a"]))
-    new = F.when(F.col("__gone").isNull(), F.col("__text")).otherwise(F.array_join(F.flatten(parts), ""))
+    pieces = lambda w: F.transform(F.arrays_zip(ends.alias("a"), F.concat(F.transform("__gone", lambda x: x["start"]), F.array(F.size(w))).alias("b")), lambda x: F.slice(w, x["a"] + 1, x["b"] - x["a"]))
+    # the words are bound to a lambda's variable, so a text is split once
+    kept = F.get(F.transform(F.array(words), lambda w: F.array_join(F.flatten(pieces(w)), "")), F.lit(0))
+    new = F.when(F.col("__gone").isNull(), F.col("__text")).otherwise(kept)
     got = both.select("__row", "__gone", new.alias("__new")).where(F.col("__gone").isNull() | (F.length("__new") > 0))
     fresh = {text: F.col("__new"), "n_chars": F.when(F.col("__gone").isNull(), F.col("__row")["n_chars"]).otherwise(F.length("__new").cast("long")) if "n_chars" in df.columns else None}
     return got.select(*((F.col("__row")[c] if fresh.get(c) is None else fresh[c]).alias(c) for c in df.columns))

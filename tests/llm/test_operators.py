@@ -164,7 +164,9 @@ def test_passages_against_brute_force(spark, monkeypatch):
     shared_parts = [prose(rnd, n) for n in (50, 51, 60, 75, 140, 49)]
     texts = [prose(rnd, rnd.randint(0, 200)) + " " + "\n ".join(rnd.sample(shared_parts, rnd.randint(0, 2))) + "  " + prose(rnd, rnd.randint(0, 60)) for _ in range(60)]
     texts += [texts[3], texts[3], shared_parts[0], prose(rnd, 120), "same line again and again " * 40]
-    monkeypatch.setattr(suffixes, "RANGE_ROWS", 40)  # many ranges, so that groups cross their ends
+    # many ranges, so that groups cross their ends
+    monkeypatch.setattr(suffixes, "RANGE_ROWS", 40)
+    monkeypatch.setattr(suffixes, "HOT", 8)
     df = docs(spark, texts)
     got = {r["doc_id"]: r for r in suffixes.passages(df).collect()}
     want = covered(texts)
@@ -187,6 +189,7 @@ def test_passages_hold_bounded_groups(spark, monkeypatch):
     texts = [f"{prose(rnd, 5)} {part} {prose(rnd, 5)}" for _ in range(90)]
     monkeypatch.setattr(suffixes, "HELD", 7)
     monkeypatch.setattr(suffixes, "RANGE_ROWS", 30)
+    monkeypatch.setattr(suffixes, "HOT", 30)
     left = suffixes.without_repeats(docs(spark, texts)).collect()
     assert sum(part in r["text"] for r in left) == 1
 
