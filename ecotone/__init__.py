@@ -1 +1,13 @@
-"""A Spark-native engine for gridded and vector analysis of upper forest limits."""
+"""A Spark-native engine for gridded and vector analysis of upper forest limits.
+
+Functions that run in Python workers are pickled by value, so executors need no
+copy of the package.
+"""
+
+from __future__ import annotations
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
