@@ -130,9 +130,11 @@ def mixed_texts(df: DataFrame, key: str = "doc_id", text: str = "text", source:
     rows = df.select(F.struct(F.col(key).alias("doc_id"), F.xxhash64(text).alias("h")).alias("__key"), F.struct(*df.columns).alias("__row"), F.col(text).alias("__text"))
     rows = rows.withColumn("__copy", F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(0))))
     got = rows.join(spans, "__key").withColumn("__turns", F.get("__copies", F.col("__copy") - 1)["turns"])
-    got = got.select("__row", F.regexp_extract_all("__text", F.lit(f"(?:{GAPS})?{WORD}"), F.lit(0)).alias("__words"), F.explode("__turns").alias("__turn"))
-    new = F.array_join(F.flatten(F.transform(F.col("__turn.spans"), lambda x: F.slice(F.col("__words"), (x["lo"] + 1).cast("int"), (x["hi"] - x["lo"]).cast("int")))), "")
-    out = got.select("__row", new.alias("__new"))
+    words = F.regexp_extract_all("__text", F.lit(f"(?:{GAPS})?{WORD}"), F.lit(0))
+    part = lambda w, t: F.array_join(F.flatten(F.transform(t["spans"], lambda x: F.slice(w, (x["lo"] + 1).cast("int"), (x["hi"] - x["lo"]).cast("int")))), "")
+    # the words are bound to a lambda's variable, so a text is split once
+    news = F.get(F.transform(F.array(words), lambda w: F.transform("__turns", lambda t: part(w, t))), F.lit(0))
+    out = got.select("__row", F.explode(news).alias("__new"))
     fresh = {text: F.col("__new"), "n_chars": F.length("__new").cast("long")}
     return out.select(*(fresh.get(c, F.col("__row")[c]).alias(c) for c in df.columns))
 

@@ -111,6 +111,16 @@ def components(edges: DataFrame, name: str = "cc", most_rounds: int = 60) -> Dat
     return label.withColumnRenamed("label", "component")
 
 
+def worker_cache(name: str) -> dict:
+    """What a Python worker keeps between tasks for one operator; an operator that starts lets go of the others'."""
+    import sys
+
+    kept = sys.__dict__.setdefault("_ecotone_kept", {})
+    for other in [k for k in kept if k != name]:
+        del kept[other]
+    return kept.setdefault(name, {})
+
+
 def by_group(rows, keys):
     """Cut one Arrow table, sorted by its integer key columns, into runs of equal keys."""
     import numpy as np

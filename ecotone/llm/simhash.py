@@ -20,7 +20,7 @@ from math import comb
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ecotone.llm.shared import block_cells, components, forest, stage, stream_groups
+from ecotone.llm.shared import block_cells, components, forest, stage, stream_groups, worker_cache
 
 SEED = 42
 #: Bytes A-Z lower-cased.
@@ -81,6 +81,7 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", width:
     def run(batches):
         import pyarrow as pa
 
+        worker_cache("simhash")
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)

@@ -14,7 +14,8 @@ range.  A suffix that matches no neighbour is compared with NEAR before it; a
 stretch that only two still more distant suffixes share can be missed.
 
 Passages are equal word by word (runs of non-space characters); words are
-compared by 32 bits of their hashes, sample points by 64.  Repeats within one
+compared by 24 bits of their hashes, which decides where a match ends, sample
+points by 64.  Repeats within one
 document count too.  Null, empty and short texts have no passage.  Rows with
 equal id and text are one document, and both get its spans.
 """
@@ -30,6 +31,8 @@ from ecotone.llm.shared import GAPS, WORD, stage, worker_cache
 LENGTH = 50
 GRAM = 10
 LEFT = LENGTH - GRAM
+#: Bytes of a word's hash by which suffixes are compared.
+SHORT = 3
 #: Characters hashed at a time.
 CHUNK = 1_000_000
 #: Members of a group that are held at a time; the smallest stays for the next lot.
@@ -145,14 +148,14 @@ def suffixes(docs: DataFrame) -> DataFrame:
             at = batch.column(3).to_pylist()
             for start, texts in _chunks(batch.column(2)):
                 words, counts = word_hashes(texts)
-                short = (words >> np.uint64(32)).astype(">u4")
+                short = words.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :SHORT]
                 out, first = [], 0
                 for k, n in enumerate(counts.tolist()):
                     own = short[first : first + n]
                     forth, back = own.tobytes(), own[::-1].tobytes()
                     for p in at[start + k]:
                         pos = p["pos"]
-                        out.append((p["g"], forth[4 * pos : 4 * (pos + LENGTH)], back[4 * (n - pos) : 4 * (n - pos + LEFT)], start + k, pos, p["hot"]))
+                        out.append((p["g"], forth[SHORT * pos : SHORT * (pos + LENGTH)], back[SHORT * (n - pos) : SHORT * (n - pos + LEFT)], start + k, pos, p["hot"]))
                     first += n
                 if out:
                     g, r, le, d, pos, hot = zip(*out, strict=True)
@@ -164,13 +167,13 @@ def suffixes(docs: DataFrame) -> DataFrame:
 
 def _common(a: bytes, b: bytes) -> int:
     """Words that two packed sequences have in common from their start."""
-    n = min(len(a), len(b)) // 4
-    if a[: 4 * n] == b[: 4 * n]:
+    n = min(len(a), len(b)) // SHORT
+    if a[: SHORT * n] == b[: SHORT * n]:
         return n
     lo, hi = 0, n
     while hi - lo > 1:
         mid = (lo + hi) // 2
-        if a[: 4 * mid] == b[: 4 * mid]:
+        if a[: SHORT * mid] == b[: SHORT * mid]:
             lo = mid
         else:
             hi = mid

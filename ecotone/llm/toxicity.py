@@ -16,11 +16,11 @@ labels at all every score is 0.
 
 from __future__ import annotations
 
-import sys
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ecotone.llm.shared import worker_cache
+
 #: Buckets of the hash, factors of a bucket, and the labelled rows that the fit may take at most.
 BUCKETS = 1 << 20
 FACTORS = 8
@@ -138,7 +138,7 @@ def score(df: DataFrame, machine: Machine, text: str = "text", into: str = "scor
         import pyarrow as pa
 
         machine, find = shared.value, _terms()
-        seen = sys.__dict__.setdefault("_ecotone_terms", {})
+        seen = worker_cache("toxicity")
         if seen.get("") is not machine:
             seen.clear()
             seen[""] = machine
