@@ -14,13 +14,16 @@ from __future__ import annotations
 
 import hashlib
 import re
-import sys
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words in the younger half of a worker's cache; beyond this many it becomes the older half. Memory only, results do not depend on it.
-CACHE = 200_000
+from ecotone.llm.shared import worker_cache
+
+#: Units in the younger half of a worker's cache; beyond this many it becomes the older half. Memory only, results do not depend on it.
+CACHE = 150_000
+#: Words that one recursive query takes.
+WORDS = 10_000
 #: Characters that are encoded at a time.
 CHUNK = 2_000_000
 #: Bytes from which a word takes the positional query, which contracts every leftmost-first occurrence of the pair in a step.
@@ -57,6 +60,14 @@ WITH RECURSIVE t(step, w, pos, tok) AS (
 SELECT w, list(tok ORDER BY pos) AS toks FROM (SELECT *, max(step) OVER (PARTITION BY w) AS last FROM t) AS s WHERE step = last GROUP BY w
 """
 
+#: Around either query: a word's ids as text, their number, and their bytes (as Latin-1), aggregated in order.
+AND_BACK = """
+WITH got AS MATERIALIZED ({merge}), back AS (
+  SELECT w, string_agg(s, '' ORDER BY pos) AS s
+  FROM (SELECT w, unnest(toks) AS id, generate_subscripts(toks, 1) AS pos FROM got) AS p JOIN vocab USING (id) GROUP BY w)
+SELECT w, array_to_string(toks, ' ') AS ids, CAST(len(toks) AS INTEGER) AS n, s FROM got JOIN back USING (w)
+"""
+
 DECODE = """
 SELECT doc, string_agg(s, '' ORDER BY pos) AS s
 FROM (SELECT doc, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM got) AS p JOIN vocab USING (id) GROUP BY doc
@@ -75,7 +86,7 @@ class Codec:
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.gap = re.compile(r"(?<=\s) ")
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "220MB"})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "150MB"})
         left, to = [], []
         for token, rank in ranks.items():
             for i in range(1, len(token)):
@@ -94,7 +105,7 @@ class Codec:
         self.older: tuple = ({}, {})
 
     def _merge(self, words: list) -> list:
-        """The ids of each byte string, by the recursive queries."""
+        """(ids as text, number of ids, bytes of the ids) of each byte string, by the recursive queries."""
         import numpy as np
         import pyarrow as pa
 
@@ -103,11 +114,11 @@ class Codec:
             if not part:
                 continue
             lens = np.array([len(words[i]) for i in part])
-            flat = np.frombuffer(b"".join(words[i] for i in part), dtype=np.uint8)
+            flat = np.frombuffer(b"".join([words[i] for i in part]), dtype=np.uint8)
             at = np.arange(len(flat), dtype=np.int64) - np.repeat(np.cumsum(lens) - lens, lens)
             self.con.register("init", pa.table({"w": np.repeat(np.array(part, dtype=np.int64), lens), "pos": at, "tok": self.byte[flat]}))
-            for w, toks in self.con.execute(sql).fetchall():
-                out[w] = toks
+            for w, ids, n, s in self.con.execute(AND_BACK.format(merge=sql)).fetchall():
+                out[w] = (ids, n, s.encode("latin-1"))
             self.con.unregister("init")
         return out
 
@@ -122,28 +133,39 @@ class Codec:
         self.con.unregister("got")
         return out
 
+    def _place(self, word: str) -> tuple:
+        """The cache and key of a word: one that starts with a space is also the unit of the text after it."""
+        return (self.after_space, word[1:]) if word[0] == " " and len(word) > 1 else (self.words, word)
+
+    def _known(self, word: str):
+        cache, key = self._place(word)
+        return cache[key]
+
     def _learn(self, words: set) -> None:
         """Put (ids as text, number of ids, decoded bytes) of each new word into the cache."""
-        own, older = self.words, self.older[0]
         new = []
         for w in words:
-            if w not in own:
-                if (got := older.get(w)) is not None:
-                    own[w] = got
+            cache, key = self._place(w)
+            if key not in cache:
+                if (got := self.older[cache is self.after_space].get(key)) is not None:
+                    cache[key] = got
                 else:
                     new.append(w)
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
+        for k in range(0, len(new), WORDS):
+            part = new[k : k + WORDS]
             raw = [w.encode("utf-8", "surrogatepass") for w in part]
-            ids = [[r] if (r := self.ranks.get(b)) is not None else None for b in raw]
-            rest = [i for i, r in enumerate(ids) if r is None]
-            for i, toks in zip(rest, self._merge([raw[i] for i in rest]), strict=True):
-                ids[i] = toks
-            for w, i, b in zip(part, ids, self.decode(ids), strict=True):
-                own[w] = (" ".join(map(str, i)), len(i), b)
+            whole = [self.ranks.get(b) for b in raw]
+            rest = [i for i, r in enumerate(whole) if r is None]
+            for i, got in zip(rest, self._merge([raw[i] for i in rest]), strict=True):
+                cache, key = self._place(part[i])
+                cache[key] = got
+            for w, b, r in zip(part, raw, whole, strict=True):
+                if r is not None:  # the word is a token
+                    cache, key = self._place(w)
+                    cache[key] = (str(r), 1, b)
 
     def _unit(self, words: list) -> tuple:
-        got = [self.words[w] for w in words]
+        got = [self._known(w) for w in words]
         if len(got) == 1:
             return got[0]
         return (" ".join([g[0] for g in got]), sum([g[1] for g in got]), b"".join([g[2] for g in got]))
@@ -155,10 +177,10 @@ class Codec:
         whose predecessor is no white space, so the text between such spaces is
         a unit that can be cached; texts with other spaces go match by match.
         """
-        if len(self.words) > CACHE or len(self.after_space) > 2 * CACHE:
+        if len(self.after_space) > CACHE or len(self.words) > CACHE:
             self.older = (self.words, self.after_space)
             self.words, self.after_space = {}, {}
-        own, known, find = self.words, self.after_space, self.pattern.findall
+        known, find = self.after_space, self.pattern.findall
         cuts, firsts, plain, later = [], [], [], set()
         words: set = set()
         for t in texts:
@@ -180,15 +202,17 @@ class Codec:
                 if (got := older.get(p)) is not None:
                     known[p] = got
                 else:
-                    units[p] = found = find(" " + p)
+                    found = find(" " + p)
                     words.update(found)
+                    if len(found) > 1 or not p:
+                        units[p] = found
         self._learn(words)
         for p, found in units.items():
             known[p] = self._unit(found)
         out = []
         for p, f, q in zip(cuts, firsts, plain, strict=True):
             if p is None:
-                out.append([own[w] for w in q])
+                out.append([self._known(w) for w in q])
             else:
                 rest = [known[x] for x in p[1:]]
                 out.append([self._unit(f), *rest] if f else rest)
@@ -204,7 +228,7 @@ def load_ranks(path: str) -> dict:
 
 
 def _codec(ranks, pattern: str) -> Codec:
-    kept = sys.__dict__.setdefault("_ecotone_codecs", {})
+    kept = worker_cache("bpe")
     key = (len(ranks), hash(frozenset(ranks.items())), pattern)
     if key not in kept:
         kept.clear()
