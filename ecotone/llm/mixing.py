@@ -101,7 +101,8 @@ def segments(docs: DataFrame) -> DataFrame:
 def taken(docs: DataFrame, sources: DataFrame, slots: DataFrame) -> DataFrame:
     """(doc_id, size, source_size, target, taken)."""
     times = slots.groupBy("s", "block_no").agg(F.count(F.lit(1)).alias("times"))
-    got = segments(docs).join(times, ["s", "block_no"], "left")
+    # the slots come from a table of a row per source, so the planner takes them for few: it must not broadcast them
+    got = segments(docs).hint("merge").join(times.hint("merge"), ["s", "block_no"], "left")
     got = got.groupBy("s", "doc_id", "start", "size").agg(F.sum((F.col("hi") - F.col("lo")) * F.coalesce("times", F.lit(0))).alias("taken"))
     none = docs.where("size = 0").select("s", "doc_id", "start", "size", F.lit(0).cast("long").alias("taken"))
     return got.unionByName(none).join(F.broadcast(sources.select("s", "source_size", "target")), "s").select("doc_id", "size", "source_size", "target", "taken")
@@ -122,7 +123,7 @@ def mixed_texts(df: DataFrame, key: str = "doc_id", text: str = "text", source:
     """
     sizes = sized(df, key, text, source)
     sources = stage(targets(sizes), "mix-sources")
-    parts = segments(placed(sizes, sources)).join(draw(sources).select("s", "block_no", "turn"), ["s", "block_no"])
+    parts = segments(placed(sizes, sources)).hint("merge").join(draw(sources).select("s", "block_no", "turn").hint("merge"), ["s", "block_no"])
     spans = parts.groupBy("doc_id", "h", "start", "turn").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
     spans = spans.groupBy("doc_id", "h", "start").agg(F.array_sort(F.collect_list(F.struct("turn", "spans"))).alias("turns"))
     # repeated rows of an id and text have a place each in the stream; the copies are dealt to them in order
