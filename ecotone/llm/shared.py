@@ -88,26 +88,33 @@ def block_cells(df: DataFrame, keys: list[str], tie: str, size: int) -> DataFram
     return got.withColumns({"_i": F.least("_k", "_o"), "_j": F.greatest("_k", "_o")}).drop("_n", "_b", "_o")
 
 
-def components(edges: DataFrame, name: str = "cc", most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, name: str = "cc", most_rounds: int = 1000) -> DataFrame:
     """(id, component): the smallest id reachable over `edges` (u, v), for every id that has a link to another.
 
-    Every id takes the least label among its own and its neighbours', then the
-    label of its label; each round is written to the shared folder.  Hot ids
-    only meet in partial aggregations and in joins that can be split.
+    Every id takes the least label among its own label's and its neighbours'
+    labels', and hands the least of its neighbours' on to its own label too, so
+    whole trees are hooked and rounds grow with the logarithm of a chain's
+    length (about 13 for 1,000 links, 19 for 100,000).  It ends when no label
+    moves; labels that still move after most_rounds are an error, never a
+    result.  Each round is written to the shared folder.  Hot ids only meet in
+    partial aggregations and in joins that can be split.
     """
     both = edges.where("u <> v").select("u", "v").union(edges.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v")))
     both = stage(both.distinct(), f"{name}-edges")
     label = stage(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("id"), F.least("u", "m").alias("label")), f"{name}-0")
-    for k in range(1, most_rounds):
-        near = both.join(label.select(F.col("id").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("m"))
-        own = label.join(near.withColumnRenamed("u", "id"), "id").select("id", F.col("label").alias("was"), F.least("label", "m").alias("label"))
-        jump = label.select(F.col("id").alias("label"), F.col("label").alias("next"))
-        new = stage(own.join(jump, "label", "left").select("id", F.least("label", F.coalesce("next", "label")).alias("label"), "was"), f"{name}-{k}")
+    for k in range(1, most_rounds + 1):
+        top = label.join(label.select(F.col("id").alias("label"), F.col("label").alias("top")), "label").select("id", "label", "top")
+        near = both.join(top.select(F.col("id").alias("v"), "top"), "v").groupBy("u").agg(F.min("top").alias("m"))
+        own = top.join(near.withColumnRenamed("u", "id"), "id")
+        news = own.select(F.explode(F.array(F.struct("id", F.least("top", "m").alias("label"), F.col("label").alias("was")), F.struct(F.col("label").alias("id"), F.col("m").alias("label"), F.lit(None).cast(label.schema["label"].dataType).alias("was")))).alias("x")).select("x.*")
+        new = stage(news.groupBy("id").agg(F.min("label").alias("label"), F.max("was").alias("was")), f"{name}-{k}")
         moved = new.where("label <> was").limit(1).count()
         drop_staged(label) if not label.isEmpty() else None
         label = new.select("id", "label")
         if not moved:
             break
+    else:
+        raise RuntimeError(f"{name}: labels still move after {most_rounds} rounds")
     return label.withColumnRenamed("label", "component")
 
 

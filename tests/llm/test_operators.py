@@ -494,3 +494,13 @@ def test_components(spark):
         parent[max(a, b)] = min(a, b)
     assert got == {x: top(x) for e in edges for x in e if e[0] != e[1]} | {x: top(x) for x in got}
     assert shared.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_components_of_a_long_chain(spark):
+    ids = list(range(1000))
+    random.Random(7).shuffle(ids)
+    chain = spark.createDataFrame(list(zip(ids, ids[1:], strict=False)), "u long, v long")
+    got = {r["id"]: r["component"] for r in shared.components(chain, most_rounds=30).collect()}
+    assert got == dict.fromkeys(range(1000), 0)
+    with pytest.raises(RuntimeError, match="still move"):
+        shared.components(chain, most_rounds=2)
