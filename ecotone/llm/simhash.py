@@ -10,6 +10,11 @@ spanning forest of the links leaves a cell.
 
 Null and empty texts have the fingerprint zero and are linked like any other.
 Repeated rows have equal fingerprints.  Only the id and text columns are read.
+
+`near_copies` is for whole corpora: texts whose sets of five-word shingles have
+a Jaccard likeness of 0.8 or more.  Such texts differ in about 10 of 64 bits,
+too many for probes, so bands of least hashes bring the candidates together;
+each link is verified on the whole sets of shingles.
 """
 
 from __future__ import annotations
@@ -29,6 +34,12 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 CHUNK = 100_000
 #: Rows of a block; a cell holds two at most.
 BLOCK = 1024
+#: Bands of so many least hashes: texts at a likeness of 0.8 share one but for 1 in 100,000.
+BANDS, ROWS = 16, 3
+#: Candidates have this many equal bytes of the least hashes; at a likeness of 0.8 the mean is 38, the deviation under 3.
+LEAST = 24
+#: Texts of a block while links are verified.
+VERIFIED = 256
 
 
 def _hashes(text, width: int) -> bytes:
@@ -216,3 +227,142 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", dist
     found = components(links(reps, distance), "simhash-cc")
     of = reps.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(of, "fp").select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def shingle_set(text, width: int = 5):
+    """The sorted distinct shingle hashes of a text."""
+    import numpy as np
+
+    return np.unique(np.frombuffer(_hashes(text, width), dtype=">u8").astype(np.uint64))
+
+
+def set_hash(shingles) -> int:
+    """A signed long for a set of shingles."""
+    import numpy as np
+    from xxhash import xxh64_intdigest
+
+    return int(np.uint64(xxh64_intdigest(shingles.tobytes(), SEED)).astype(np.int64))
+
+
+def least_hashes(shingles, mix):
+    """The least of the shingles' hashes under each of BANDS * ROWS mixings."""
+    import numpy as np
+
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for a in range(0, len(shingles), 8192):
+        least = np.minimum(least, ((shingles[None, a : a + 8192] ^ mix[0]) * (mix[1] | np.uint64(1))).min(axis=1))
+    return least
+
+
+def sketches(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """(key, fp, sig, bands): the hash of each text's set, a byte of each least hash, and a hash of each band."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        from xxhash import xxh64_intdigest
+
+        worker_cache("simhash")
+        mix = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS, 1), dtype=np.uint64)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 512):
+                part = batch.slice(a, 512)
+                sets = [shingle_set(t.as_py(), width) for t in part.column(1)]
+                least = [least_hashes(x, mix) for x in sets]
+                bands = [np.array([xxh64_intdigest(x[b : b + ROWS].tobytes(), b) for b in range(0, BANDS * ROWS, ROWS)], dtype=np.uint64).view(np.int64) for x in least]
+                cols = [part.column(0), pa.array([set_hash(x) for x in sets], pa.int64()), pa.array([x.astype(np.uint8).tobytes() for x in least], pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, [key, "fp", "sig", "bands"])
+
+    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, fp long, sig binary, bands array<long>")
+
+
+def candidates(reps: DataFrame) -> DataFrame:
+    """Links (u, v) that connect all sets (fp, sig, bands) which share a band and look alike: a spanning forest of each cell."""
+    keys = ["p", "val", "_i", "_j"]
+    cells = block_cells(reps.select("fp", "sig", F.posexplode("bands").alias("p", "val")), ["p", "val"], "fp", BLOCK)
+    cells = cells.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "_k", "fp", "sig")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for group in stream_groups(batches, keys):
+            fp, k = (group.column(c).to_numpy() for c in ("fp", "_k"))
+            sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), dtype=np.uint8).reshape(len(fp), -1)
+            i, j = group.column("_i")[0].as_py(), group.column("_j")[0].as_py()
+            a, b = np.flatnonzero(k == i), np.flatnonzero(k == j)
+            us, vs = [], []
+            for s in range(0, len(a), 64):
+                x, y = np.nonzero((sig[a[s : s + 64], None] == sig[b][None, :]).sum(axis=2) >= LEAST)
+                x, y = a[x + s], b[y]
+                if i == j:
+                    x, y = x[x < y], y[x < y]
+                us += fp[x].tolist()
+                vs += fp[y].tolist()
+                if len(us) > 65536:
+                    us, vs = map(list, zip(*forest(us, vs), strict=True))
+            if us:
+                us, vs = zip(*forest(us, vs), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+
+    return cells.mapInArrow(run, "u long, v long")
+
+
+def verified(sets: DataFrame, jaccard: float) -> DataFrame:
+    """Links (u, v) that connect all sets (fp, component, shingles) of a component with the likeness: pairs that are connected already are passed over."""
+    keys = ["component", "_i", "_j"]
+    cells = block_cells(sets, ["component"], "fp", VERIFIED)
+    cells = cells.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "_k", "fp", "shingles")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for group in stream_groups(batches, keys):
+            fp, k = (group.column(c).to_numpy() for c in ("fp", "_k"))
+            own = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in group.column("shingles")]
+            i, j = group.column("_i")[0].as_py(), group.column("_j")[0].as_py()
+            a, b = np.flatnonzero(k == i).tolist(), np.flatnonzero(k == j).tolist()
+            parent = np.arange(len(fp))
+            us, vs = [], []
+            for x in a:
+                for y in b:
+                    n, m = len(own[x]), len(own[y])
+                    if (i == j and y <= x) or parent[x] == parent[y] or min(n, m) < jaccard * max(n, m) - 1e-9:
+                        continue
+                    both = len(np.intersect1d(own[x], own[y], assume_unique=True))
+                    if both >= jaccard * (n + m - both) - 1e-9:
+                        parent[parent == parent[y]] = parent[x]
+                        us.append(int(fp[x]))
+                        vs.append(int(fp[y]))
+            if us:
+                yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+
+    return cells.mapInArrow(run, "u long, v long")
+
+
+def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, jaccard: float = 0.8) -> DataFrame:
+    """(key, component_id): the smallest key reachable over pairs of texts whose sets of shingles have the likeness. Texts without words have equal, empty sets."""
+    prints = stage(sketches(df, key, text, width), "copies-sketches")
+    reps = stage(prints.groupBy("fp").agg(F.min(key).alias("rep"), F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands")), "copies-reps")
+    maybe = components(candidates(reps), "copies-maybe").withColumnRenamed("id", "fp")
+    asked = reps.join(maybe, "fp").select(F.col("rep").alias(key), "fp", "component")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for a in range(0, batch.num_rows, 512):
+                part = batch.slice(a, 512)
+                sets = [shingle_set(t.as_py(), width) for t in part.column(2)]
+                # rows that repeat an id may have another text
+                right = pa.array([set_hash(x) == f.as_py() for x, f in zip(sets, part.column(0), strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x.tobytes() for x in sets], pa.binary())], ["fp", "component", "shingles"]).filter(right)
+
+    texts = df.select(key, F.col(text).alias("_text")).join(asked, key).select("fp", "component", "_text")
+    sets = stage(texts.mapInArrow(run, "fp long, component long, shingles binary").dropDuplicates(["fp"]), "copies-sets")
+    found = components(verified(sets, jaccard), "copies-cc").withColumnRenamed("id", "fp")
+    of = reps.select("fp", "rep").join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    least = of.groupBy("component").agg(F.min("rep").alias("component_id"))
+    return prints.select(key, "fp").join(of.join(least, "component").select("fp", "component_id"), "fp").select(key, "component_id")

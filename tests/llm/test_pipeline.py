@@ -1,5 +1,6 @@
 """The pipeline's stages: what each must keep and drop."""
 
+import random
 import re
 
 import corpus_pipeline as P
@@ -44,6 +45,30 @@ def test_stages(spark, sf_dir, tmp_path):
     assert after.count() == before.count()
 
 
+def test_simhash_stage_against_brute_force(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    monkeypatch.setattr(simhash, "VERIFIED", 4)
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    texts = ["Two words", "two  WORDS", "two other", "", None, " "]
+    for _ in range(8):
+        base = [word() for _ in range(200)]
+        texts += [" ".join(base)] * 2
+        for edits in (1, 2, 3, 4, 4, 5, 6, 12):
+            texts.append(" ".join(word() if k % (200 // edits) == 9 and k // (200 // edits) < edits else w for k, w in enumerate(base)))
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    words = [(t or "").lower().split() for t in texts]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in words]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if words[i] and words[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((group[i], group[j]))
+                group = [a if g == b else g for g in group]
+    assert {r["doc_id"] for r in P.simhash_stage(spark, df, sf_dir).collect()} == set(group)
+
+
 def test_run_registers():
     import __spark_entry__
 
