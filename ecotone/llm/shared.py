@@ -19,10 +19,12 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset and Spark is local."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if "dir" not in _own:
         _own["dir"] = tempfile.mkdtemp(prefix="ecotone-")
         atexit.register(shutil.rmtree, _own["dir"], ignore_errors=True)
@@ -30,10 +32,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends here and no executor's loss undoes it."""
+    """Write df as Parquet in the shared folder and read it back: lineage ends here and no executor's loss undoes it.
+
+    What `drop_staged` has not deleted before goes when the driver's JVM ends.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
     df.write.parquet(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -51,26 +58,45 @@ def literal_rows(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
 
 
-def range_bucket(df: DataFrame, key: str, rows: int, most: int = 8192) -> tuple[DataFrame, list]:
-    """Add `_bucket`: the range of `key` a row falls in, from quantiles over the whole column.
+def range_bucket(df: DataFrame, key: str, rows: int, most: int = 8192) -> tuple[DataFrame, int]:
+    """Add `_bucket`, the range of the numeric column `key` a row falls in, of about `rows` rows; returns the number of buckets too.
 
     The cut points are plain literals, so every plan that uses them agrees on
-    the buckets, unlike sampled range partitions.  At most `most` numbers come
-    to the driver.  Nulls fall in bucket 0 with the smallest keys.
+    the buckets, unlike sampled range partitions.  `most` of them come from
+    quantiles over the whole column; where more buckets are needed each range
+    is cut into equal steps, so their number grows with the rows.  Nulls fall
+    in bucket 0 with the smallest keys.
     """
-    n = df.count()
-    buckets = max(1, min(most, -(-n // rows)))
+    facts = df.agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi")).head()
+    wanted = max(1, -(-facts["n"] // rows))
+    buckets, steps = min(most, wanted), -(-wanted // most)
     cuts: list = []
     if buckets > 1:
         at = [i / buckets for i in range(1, buckets)]
         cuts = sorted({c for c in df.agg(F.percentile_approx(key, at, max(10_000, 10 * buckets))).head()[0] or []})
     if not cuts:
-        return df.withColumn("_bucket", F.lit(0)), cuts
+        return df.withColumn("_bucket", F.lit(0)), 1
     # how many cut points lie at or below the key, by binary search over a literal array
     bound = F.lit(cuts)
     powers = F.lit([1 << i for i in reversed(range(len(cuts).bit_length()))])
     low = F.aggregate(powers, F.lit(0), lambda a, p: F.when(F.try_element_at(bound, a + p) <= F.col(key), a + p).otherwise(a))
-    return df.withColumn("_bucket", F.coalesce(low, F.lit(0))), cuts
+    got = df.withColumn("_bucket", F.coalesce(low, F.lit(0)))
+    if steps > 1:
+        first = F.coalesce(F.get(bound, F.col("_bucket") - 1), F.lit(facts["lo"])).cast("double")
+        last = F.coalesce(F.get(bound, F.col("_bucket")), F.lit(facts["hi"])).cast("double")
+        step = F.floor((F.col(key).cast("double") - first) / F.greatest(last - first, F.lit(1e-300)) * steps)
+        got = got.withColumn("_bucket", F.col("_bucket") * steps + F.least(F.lit(steps - 1), F.greatest(F.lit(0), F.coalesce(step, F.lit(0)))).cast("int"))
+    return got, (len(cuts) + 1) * steps
+
+
+def once(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df with one row for each value of `keys`, nulls being equal. Only rows that do repeat are exchanged whole."""
+    again = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*keys)
+    if not again.limit(1).count():
+        return df
+    again = stage(again, "again").withColumnsRenamed({k: f"_again_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_again_{k}")) for k in keys]
+    return df.join(again, same, "left_anti").unionByName(df.join(again, same, "left_semi").dropDuplicates(keys))
 
 
 def block_cells(df: DataFrame, keys: list[str], tie: str, size: int) -> DataFrame:
@@ -115,6 +141,7 @@ def components(edges: DataFrame, name: str = "cc", most_rounds: int = 1000) -> D
             break
     else:
         raise RuntimeError(f"{name}: labels still move after {most_rounds} rounds")
+    drop_staged(both)
     return label.withColumnRenamed("label", "component")
 
 

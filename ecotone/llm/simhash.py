@@ -9,7 +9,10 @@ share a probe meet in bounded cells and are compared bit by bit there; only a
 spanning forest of the links leaves a cell.
 
 Null and empty texts have the fingerprint zero and are linked like any other.
-Repeated rows have equal fingerprints.  Only the id and text columns are read.
+Repeated rows have equal fingerprints.  Links run between fingerprints, which
+are never null, and only at the end the smallest id names a component: a null
+id names none, and a component of null ids alone has the id null.  Only the id
+and text columns are read.
 
 `near_copies` is for whole corpora: texts whose sets of five-word shingles have
 a Jaccard likeness of 0.8 or more.  Such texts differ in about 10 of 64 bits,
@@ -25,7 +28,7 @@ from math import comb
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ecotone.llm.shared import block_cells, components, forest, stage, stream_groups, worker_cache
+from ecotone.llm.shared import WORD, block_cells, components, forest, once, stage, stream_groups, worker_cache
 
 SEED = 42
 #: Bytes A-Z lower-cased.
@@ -189,19 +192,19 @@ def probes(probing: list) -> list:
 
 
 def links(fps: DataFrame, distance: int = 2) -> DataFrame:
-    """Links (u, v) that connect all distinct fingerprints (rep, fp) within the distance."""
+    """Links (u, v) that connect all distinct fingerprints (fp) within the distance."""
     n, together = bit_statistics(fps)
     masks = probes(plan(n, together, distance))
-    tagged = fps.select("rep", "fp", F.explode(F.array(*(F.struct(F.lit(i).alias("p"), F.col("fp").bitwiseAND(F.lit(m)).alias("val")) for i, m in masks))).alias("x")).select("rep", "fp", "x.p", "x.val")
-    cells = block_cells(tagged, ["p", "val"], "rep", BLOCK)
-    cells = cells.repartition("p", "val", "_i", "_j").sortWithinPartitions("p", "val", "_i", "_j").select("p", "val", "_i", "_j", "_k", "rep", "fp")
+    tagged = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("p"), F.col("fp").bitwiseAND(F.lit(m)).alias("val")) for i, m in masks))).alias("x")).select("fp", "x.p", "x.val")
+    cells = block_cells(tagged, ["p", "val"], "fp", BLOCK)
+    cells = cells.repartition("p", "val", "_i", "_j").sortWithinPartitions("p", "val", "_i", "_j").select("p", "val", "_i", "_j", "_k", "fp")
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         for group in stream_groups(batches, ["p", "val", "_i", "_j"]):
-            rep, fp, k = (group.column(c).to_numpy() for c in ("rep", "fp", "_k"))
+            fp, k = (group.column(c).to_numpy() for c in ("fp", "_k"))
             i, j = group.column("_i")[0].as_py(), group.column("_j")[0].as_py()
             a, b = np.flatnonzero(k == i), np.flatnonzero(k == j)
             us, vs = [], []
@@ -211,7 +214,7 @@ def links(fps: DataFrame, distance: int = 2) -> DataFrame:
                 x, y = a[x + s], b[y]
                 if i == j:
                     x, y = x[x < y], y[x < y]
-                for u, v in forest(rep[x].tolist(), rep[y].tolist()):
+                for u, v in forest(fp[x].tolist(), fp[y].tolist()):
                     us.append(u)
                     vs.append(v)
             if us:
@@ -224,11 +227,18 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", dist
     """(key, fingerprint, component_id): the smallest key reachable over links between fingerprints."""
     prints = stage(fingerprints(df, key, text, width), "simhash-fp")
     reps = stage(prints.groupBy("fp").agg(F.min(key).alias("rep")), "simhash-reps")
-    found = components(links(reps, distance), "simhash-cc")
-    of = reps.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    found = components(links(reps, distance), "simhash-cc").withColumnRenamed("id", "fp")
+    of = named(reps, found)
     return prints.join(of, "fp").select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def named(reps: DataFrame, found: DataFrame) -> DataFrame:
+    """(fp, component_id): the least `rep` of each component of fingerprints; those without a link stand alone."""
+    whole = reps.select("fp", "rep").join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    least = whole.groupBy("component").agg(F.min("rep").alias("component_id"))
+    return whole.join(least, "component").select("fp", "component_id")
+
+
 def shingle_set(text, width: int = 5):
     """The sorted distinct shingle hashes of a text."""
     import numpy as np
@@ -254,9 +264,9 @@ def least_hashes(shingles, mix):
     return least
 
 
-def sketches(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """(key, fp, sig, bands): the hash of each text's set, a byte of each least hash, and a hash of each band."""
-    kind = df.schema[key].dataType.simpleString()
+def sketches(rows: DataFrame, width: int) -> DataFrame:
+    """(id, h, fp, sig, bands) of rows (id, h, text): the hash of each text's set, a byte of each least hash, and a hash of each band."""
+    kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
         import numpy as np
@@ -268,13 +278,13 @@ def sketches(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                sets = [shingle_set(t.as_py(), width) for t in part.column(1)]
+                sets = [shingle_set(t.as_py(), width) for t in part.column(2)]
                 least = [least_hashes(x, mix) for x in sets]
                 bands = [np.array([xxh64_intdigest(x[b : b + ROWS].tobytes(), b) for b in range(0, BANDS * ROWS, ROWS)], dtype=np.uint64).view(np.int64) for x in least]
-                cols = [part.column(0), pa.array([set_hash(x) for x in sets], pa.int64()), pa.array([x.astype(np.uint8).tobytes() for x in least], pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(cols, [key, "fp", "sig", "bands"])
+                cols = [part.column(0), part.column(1), pa.array([set_hash(x) for x in sets], pa.int64()), pa.array([x.astype(np.uint8).tobytes() for x in least], pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, ["id", "h", "fp", "sig", "bands"])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, fp long, sig binary, bands array<long>")
+    return rows.select("id", "h", "text").mapInArrow(run, f"id {kind}, h long, fp long, sig binary, bands array<long>")
 
 
 def candidates(reps: DataFrame) -> DataFrame:
@@ -343,11 +353,20 @@ def verified(sets: DataFrame, jaccard: float) -> DataFrame:
 
 
 def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, jaccard: float = 0.8) -> DataFrame:
-    """(key, component_id): the smallest key reachable over pairs of texts whose sets of shingles have the likeness. Texts without words have equal, empty sets."""
-    prints = stage(sketches(df, key, text, width), "copies-sketches")
-    reps = stage(prints.groupBy("fp").agg(F.min(key).alias("rep"), F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands")), "copies-reps")
+    """(id, h, component_id, kept): the smallest id reachable over pairs of texts whose sets of shingles have the likeness.
+
+    h is the text's hash (of an empty text for null): rows with equal id and
+    text are one row here, rows that share only the id are apart.  One row of
+    each component is kept: that of the smallest (id, h), null ids last.  A
+    component of null ids alone has the id null.  Texts without words have
+    equal, empty sets.
+    """
+    rows = df.select(F.col(key).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"), F.col(text).alias("text"))
+    prints = stage(sketches(rows, width), "copies-sketches")
+    own = F.struct(F.col("id").isNull().alias("n"), "id", "h")
+    reps = stage(prints.groupBy("fp").agg(F.min(own).alias("rep"), F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands")), "copies-reps")
     maybe = components(candidates(reps), "copies-maybe").withColumnRenamed("id", "fp")
-    asked = reps.join(maybe, "fp").select(F.col("rep").alias(key), "fp", "component")
+    asked = reps.join(maybe, "fp").select(F.col("rep.id").alias("_id"), F.col("rep.h").alias("_h"), "fp", "component")
 
     def run(batches):
         import pyarrow as pa
@@ -355,14 +374,20 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", width: i
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                sets = [shingle_set(t.as_py(), width) for t in part.column(2)]
-                # rows that repeat an id may have another text
-                right = pa.array([set_hash(x) == f.as_py() for x, f in zip(sets, part.column(0), strict=True)], pa.bool_())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x.tobytes() for x in sets], pa.binary())], ["fp", "component", "shingles"]).filter(right)
+                sets = [shingle_set(t.as_py(), width).tobytes() for t in part.column(2)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sets, pa.binary())], ["fp", "component", "shingles"])
 
-    texts = df.select(key, F.col(text).alias("_text")).join(asked, key).select("fp", "component", "_text")
+    texts = rows.join(asked, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).select("fp", "component", "text")
     sets = stage(texts.mapInArrow(run, "fp long, component long, shingles binary").dropDuplicates(["fp"]), "copies-sets")
-    found = components(verified(sets, jaccard), "copies-cc").withColumnRenamed("id", "fp")
-    of = reps.select("fp", "rep").join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = of.groupBy("component").agg(F.min("rep").alias("component_id"))
-    return prints.select(key, "fp").join(of.join(least, "component").select("fp", "component_id"), "fp").select(key, "component_id")
+    of = named(reps, components(verified(sets, jaccard), "copies-cc").withColumnRenamed("id", "fp"))
+    every = prints.groupBy("id", "h").agg(F.any_value("fp").alias("fp")).join(of, "fp")
+    return every.select("id", "h", F.col("component_id.id").alias("component_id"), own.eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, jaccard: float = 0.8) -> DataFrame:
+    """df with one row of each group of near copies; rows whose text has no word all stay."""
+    worded = F.coalesce(F.col(text).rlike(WORD), F.lit(False))
+    own = F.struct(F.col(key).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"))
+    some = once(df.where(worded).withColumn("__key", own), ["__key"])
+    kept = near_copies(some, key, text, width, jaccard).where("kept").select(F.struct("id", "h").alias("__key"))
+    return some.join(stage(kept, "copies-kept"), "__key", "left_semi").select(*df.columns).unionByName(df.where(~worded))

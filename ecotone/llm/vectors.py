@@ -13,8 +13,11 @@ links per vector and a spanning forest of its links.
 Rows link only with equal labels and equal vector lengths.  Null labels, null,
 empty or zero vectors and vectors with null or non-finite components link with
 nothing and stand alone.  Repeated rows link with each other like any equal
-vectors; a repeated id counts once for each row.  Centroids and codebooks are
-fitted on at most `sample` vectors, whose choice a hash of the id fixes; every
+vectors; a repeated id counts once for each row.  Links run between numbers of
+distinct vectors, and only at the end the smallest id names a component: a null
+id names none, a component of null ids alone has the id null, and all of it is
+kept.  Centroids and codebooks are
+fitted on at most `sample` vectors, whose choice a hash of the vector fixes; every
 vector is indexed, and the fit affects only the speed.
 """
 
@@ -174,20 +177,24 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     rows = df.select(F.col(key).alias("vec_id"), F.col(vector).alias("embedding"), F.col(label).alias("label"))
     rows = rows.withColumn("fine", valid(F.col("embedding")) & F.col("label").isNotNull())
     fine = rows.where("fine")
-    distinct = stage(fine.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")).withColumn("dims", F.size("embedding")), "pq-distinct")
-    drawn = distinct.select("embedding", "dims").orderBy(F.xxhash64("rep"), "rep").limit(sample).collect()
+    least = fine.groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    # a number of its own for each distinct vector, fixed once the table is written
+    distinct = stage(least.withColumns({"dims": F.size("embedding"), "rep": F.monotonically_increasing_id()}), "pq-distinct")
+    drawn = distinct.select("embedding", "dims").orderBy(F.xxhash64("embedding"), "embedding").limit(sample).collect()
     if drawn:
-        size = distinct.agg(F.max("dims")).head()[0]
-        unit = _unit([r["embedding"] for r in drawn], size)
-        lists = max(4, min(2048, distinct.count() // LISTED))
+        facts = distinct.agg(F.max("dims").alias("size"), F.count(F.lit(1)).alias("n")).head()
+        unit = _unit([r["embedding"] for r in drawn], facts["size"])
+        lists = max(4, min(len(drawn) // 4, facts["n"] // LISTED))
         centroids, books = fit(unit, lists)
-        cells = block_cells(index(distinct, centroids, books, size, (2 - 2 * cosine) ** 0.5), ["label", "dims", "list"], "rep", BLOCK)
-        found = stage(search(cells, centroids, books, size, cosine), "pq-links")
+        cells = block_cells(index(distinct, centroids, books, facts["size"], (2 - 2 * cosine) ** 0.5), ["label", "dims", "list"], "rep", BLOCK)
+        found = stage(search(cells, centroids, books, facts["size"], cosine), "pq-links")
         counts = found.where("v IS NULL").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("others"))
         groups = components(found.where("v IS NOT NULL").select("u", "v"), "pq-cc").withColumnRenamed("id", "rep")
-        per = distinct.join(counts, "rep", "left").join(groups, "rep", "left").select("label", "embedding", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        per = distinct.join(counts, "rep", "left").join(groups, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        names = per.groupBy("component").agg(F.min("least").alias("component_id"))
+        per = per.join(names, "component").select("label", "embedding", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
         got = fine.join(per, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     else:
         got = fine.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     alone = rows.where(~F.col("fine")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return got.unionByName(alone).select("vec_id", F.col("n_links").cast("long"), "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+    return got.unionByName(alone).select("vec_id", F.col("n_links").cast("long"), "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -233,6 +233,13 @@ def test_vectors_against_brute_force(spark, monkeypatch):
     assert vectors.near_duplicates(df.where("false")).count() == 0
 
 
+def test_vectors_null_and_large_ids(spark):
+    big = 2**53 + 1
+    rows = [(None, [1.0, 0.0], 0), (big + 2, [1.0, 0.01], 0), (big, [1.0, 0.02], 0), (None, [0.0, 1.0], 0), (5, [-1.0, 0.0], 0), (5, [0.0, -1.0], 0)]
+    got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0, r["kept"]) for r in got) == sorted([(0, 2, big, False), (big + 2, 2, big, False), (big, 2, big, True), (0, 0, 0, True), (5, 0, 5, True), (5, 0, 5, True)])
+
+
 # 6
 
 
@@ -267,6 +274,17 @@ def test_simhash_against_brute_force(spark, odd, none, monkeypatch):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_simhash_null_and_large_ids(spark):
+    rnd = random.Random(31)
+    base = prose(rnd, 900).split(" ")
+    near = " ".join([*base[:-1], "other"])
+    assert 0 < (brute_fingerprint(" ".join(base)) ^ brute_fingerprint(near)).bit_count() <= 2
+    big = 2**53 + 1
+    rows = [(None, " ".join(base)), (big + 2, near), (big, near), (None, "alone and without a link"), (None, near), (7, "x"), (7, "y z w")]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in got) == sorted([(0, big), (big + 2, big), (big, big), (0, 0), (0, big), (7, 7), (7, 7)])
+
+
 def test_pigeonhole_finds_every_pair():
     import numpy as np
 

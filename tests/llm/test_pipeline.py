@@ -5,11 +5,31 @@ import re
 
 import corpus_pipeline as P
 
-from ecotone.llm import bpe, queries, simhash, suffixes, toxicity
+from ecotone.llm import bpe, queries, simhash, suffixes, toxicity  # noqa: F401
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+def exact_groups(texts):
+    """The smallest id reachable over pairs with a Jaccard likeness of 0.8 of their five-word shingles; texts without words stand alone."""
+    words = {i: (t or "").lower().split() for i, t in texts.items()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in words.items()}
+    group = {i: i for i in texts}
+
+    def top(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    order = sorted(texts)
+    for n, i in enumerate(order):
+        for j in order[:n]:
+            a, b = len(sets[i]), len(sets[j])
+            if words[i] and words[j] and min(a, b) >= 0.8 * max(a, b) and top(i) != top(j) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                group[max(top(i), top(j))] = min(top(i), top(j))
+    return {i: top(i) for i in texts}
+
+
 def test_stages(spark, sf_dir, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     kept = {}
@@ -26,8 +46,7 @@ def test_stages(spark, sf_dir, tmp_path):
     rejected = {r["doc_id"] for r in toxicity.judged(before, labels).where("predicted = 1").collect()}
     assert ids(before) - ids(after) == rejected
     before, after = kept["simhash"]
-    groups = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(before).collect()}
-    assert {groups[i] for i in ids(after)} == set(groups.values()) and after.count() == len(set(groups.values()))
+    assert ids(after) == set(exact_groups({r["doc_id"]: r["text"] for r in before.collect()}).values()) and after.count() == len(ids(after))
     before, after = kept["passages"]
     assert suffixes.passages(after).count() == 0 or suffixes.passages(after).agg({"repeated_words": "sum"}).head()[0] < 0.01 * sum(len(WORDS.findall(r["text"])) for r in before.collect())
     clean = ids(before) - ids(suffixes.passages(before))
@@ -58,15 +77,16 @@ def test_simhash_stage_against_brute_force(spark, sf_dir, monkeypatch):
             texts.append(" ".join(word() if k % (200 // edits) == 9 and k // (200 // edits) < edits else w for k, w in enumerate(base)))
     rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    words = [(t or "").lower().split() for t in texts]
-    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in words]
-    group = list(range(len(texts)))
-    for i in range(len(texts)):
-        for j in range(i):
-            if words[i] and words[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
-                a, b = sorted((group[i], group[j]))
-                group = [a if g == b else g for g in group]
-    assert {r["doc_id"] for r in P.simhash_stage(spark, df, sf_dir).collect()} == set(group)
+    assert {r["doc_id"] for r in P.simhash_stage(spark, df, sf_dir).collect()} == set(exact_groups(dict(enumerate(texts))).values())
+
+
+def test_simhash_stage_keeps_every_text(spark, sf_dir):
+    rnd = random.Random(5)
+    x, y, z = (" ".join("".join(rnd.choices("abcdefgh", k=6)) for _ in range(60)) for _ in range(3))
+    rows = [(3, y), (5, x), (5, y), (5, x), (None, z), (None, z), (None, y), (9, z + " end"), (4, None), (4, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = P.simhash_stage(spark, df, sf_dir).select("doc_id", "text").collect()
+    assert sorted((str(i), str(t)) for i, t in got) == sorted((str(i), str(t)) for i, t in [(3, y), (5, x), (9, z + " end"), (4, None), (4, None)])
 
 
 def test_run_registers():
