@@ -2,21 +2,19 @@
 
 Of every stretch of LENGTH words the k-gram of least hash is a sample point, so
 two equal stretches have the same one.  Sample points whose k-gram occurs once
-are done with.  The suffixes at the others, as far as they matter (LENGTH words
-on, and the words before it back to LENGTH), are sorted: those of one k-gram
-together, or by range over the cluster where it has more than HOT.  Neighbours
-are compared, and their matches extend right and left from the sample point.
-Neighbours that have a common stretch of LENGTH words or more make groups,
-nested by how much they have in common: the smallest (id, place) keeps its
-stretch, the others are repeats of it.  Ranges cut through any group, however
-large; the groups at their ends are matched in a last step, two rows for each
-range.  A suffix that matches no neighbour is compared with NEAR before it; a
-stretch that only two still more distant suffixes share can be missed.
-
-Passages are equal word by word (runs of non-space characters); words are
-compared by 24 bits of their hashes, which decides where a match ends, sample
-points by 64.  Repeats within one
-document count too.  Null, empty and short texts have no passage.  Rows with
+are done with.  The suffixes at the others are sorted, those of one k-gram
+together, or by range over the cluster where it has more than HOT.  A suffix
+carries the 64-bit hashes of the stretches of LENGTH words around its sample
+point: neighbours are compared by these, which extends a match left and right
+from the point word by word, and neighbours with a stretch in common make runs.
+The same stretch may stand in several runs, where other suffixes lie between:
+the runs of a k-gram are then matched by their stretch's hash, in the task that
+holds the whole k-gram, or over the cluster where it is cut.  So every stretch
+that stands twice is found, and no other; its place of smallest (id, text
+hash, position) keeps it, null ids last, the others are repeats of it.
+
+Passages are equal word by word (runs of non-space characters).  Repeats within
+one document count too.  Null, empty and short texts have no passage.  Rows with
 equal id and text are one document, and both get its spans.
 """
 
@@ -25,24 +23,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ecotone.llm.shared import GAPS, WORD, stage, worker_cache
+from ecotone.llm.shared import GAPS, WORD, once, stage, worker_cache
 
 #: Words of the shortest passage, and of a sample point's k-gram.
 LENGTH = 50
 GRAM = 10
 LEFT = LENGTH - GRAM
-#: Bytes of a word's hash by which suffixes are compared.
-SHORT = 3
 #: Characters hashed at a time.
 CHUNK = 1_000_000
-#: Members of a group that are held at a time; the smallest stays for the next lot.
-HELD = 20_000
-#: Sample points of a k-gram from which it is sorted by range, rows of such a range, and ranges at most.
+#: Sample points of a k-gram from which it is sorted by range, and rows of such a range.
 HOT = 20_000
 RANGE_ROWS = 20_000
-MOST_RANGES = 2048
-#: Earlier groups of the same sample point that a suffix without a matching neighbour is also compared with.
-NEAR = 32
+#: Frequent k-grams up to which their list (8 bytes each) is broadcast.
+LISTED = 500_000
 
 MULTIPLY = 0x9E3779B97F4A7C15
 
@@ -78,14 +71,27 @@ def word_hashes(texts: list) -> tuple:
     return _mixed(np.add.reduceat(letters * power[place], first) + lens.astype(np.uint64)), counts
 
 
+def window_hashes(words):
+    """The hash of each stretch of LENGTH words, by its first word."""
+    import numpy as np
+
+    n = len(words) - LENGTH + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.uint64)
+    up, down = (np.full(len(words), np.uint64(m)) for m in (MULTIPLY, pow(MULTIPLY, -1, 1 << 64)))
+    up[0] = down[0] = 1
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(words * np.multiply.accumulate(up), dtype=np.uint64)])
+    return _mixed((sums[LENGTH:] - sums[:n]) * np.multiply.accumulate(down)[:n])
+
+
 def sample_points(words, counts) -> tuple:
-    """(index, k-gram hash) of the sample points; a stretch never crosses from one text to the next."""
+    """(index, k-gram hash, least and most words before it) of the sample points; the last two name the stretches that have it. A stretch never crosses from one text to the next."""
     import numpy as np
 
     n = len(words) - GRAM + 1
     doc = np.repeat(np.arange(len(counts)), counts)
     if len(words) < LENGTH:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+        return tuple(np.zeros(0, dtype=t) for t in (np.int64, np.uint64, np.int64, np.int64))
     gram = np.zeros(n, dtype=np.uint64)
     for j in range(GRAM):
         gram = gram * np.uint64(MULTIPLY) + words[j : j + n]
@@ -97,9 +103,12 @@ def sample_points(words, counts) -> tuple:
         at = np.where(right, at[step:], at[: len(at) - step])
         least = np.where(right, least[step:], least[: len(least) - step])
         width += step
-    inside = doc[: len(at)] == doc[LENGTH - 1 : LENGTH - 1 + len(at)]
-    got = np.unique(at[inside])
-    return got, gram[got]
+    starts = np.flatnonzero(doc[: len(at)] == doc[LENGTH - 1 : LENGTH - 1 + len(at)])
+    at = at[starts]
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    last = np.concatenate([first[1:], [len(at)]])[: len(first)] - 1
+    got = at[first]
+    return got, gram[got], got - starts[last], got - starts[first]
 
 
 def _chunks(column):
@@ -116,7 +125,7 @@ def _chunks(column):
 
 
 def grams(docs: DataFrame) -> DataFrame:
-    """(id, h, pos, g): the sample points of (id, h, text)."""
+    """(id, h, pos, g, lo, hi): the sample points of (id, h, text)."""
 
     def run(batches):
         import numpy as np
@@ -126,222 +135,170 @@ def grams(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for start, texts in _chunks(batch.column(2)):
                 words, counts = word_hashes(texts)
-                at, g = sample_points(words, counts)
+                at, g, lo, hi = sample_points(words, counts)
                 first = np.cumsum(counts) - counts
                 d = np.searchsorted(first, at, side="right") - 1
                 # an empty text shares its first word's index with the text after it
                 take = pa.array(d + start)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array((at - first[d]).astype(np.int32)), pa.array(g.view(np.int64))], ["id", "h", "pos", "g"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array((at - first[d]).astype(np.int32)), pa.array(g.view(np.int64)), pa.array(lo.astype(np.int8)), pa.array(hi.astype(np.int8))], ["id", "h", "pos", "g", "lo", "hi"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, h long, pos int, g long")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, h long, pos int, g long, lo byte, hi byte")
 
 
 def suffixes(docs: DataFrame) -> DataFrame:
-    """(g, r, l, id, h, pos, hot): for (id, h, text, at) the words from each sample point on and those before it, nearest first."""
+    """(g, r, id, h, pos, hi, w, hot): for (id, h, text, at) a byte of each word from the sample point on, by which suffixes are sorted, and the hashes w of its stretches, that with most words before the point first."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        names = ["g", "r", "l", "id", "h", "pos", "hot"]
+        names = ["g", "r", "id", "h", "pos", "hi", "w", "hot"]
         for batch in batches:
             at = batch.column(3).to_pylist()
             for start, texts in _chunks(batch.column(2)):
                 words, counts = word_hashes(texts)
-                short = words.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :SHORT]
+                short, hashes = words.astype(np.uint8).tobytes(), window_hashes(words).tobytes()
                 out, first = [], 0
                 for k, n in enumerate(counts.tolist()):
-                    own = short[first : first + n]
-                    forth, back = own.tobytes(), own[::-1].tobytes()
                     for p in at[start + k]:
-                        pos = p["pos"]
-                        out.append((p["g"], forth[SHORT * pos : SHORT * (pos + LENGTH)], back[SHORT * (n - pos) : SHORT * (n - pos + LEFT)], start + k, pos, p["hot"]))
+                        pos, hi = p["pos"], p["hi"]
+                        here = first + pos
+                        out.append((p["g"], short[here : min(here + LENGTH, first + n)], start + k, pos, hi, hashes[8 * (here - hi) : 8 * (here - p["lo"] + 1)], p["hot"]))
                     first += n
                 if out:
-                    g, r, le, d, pos, hot = zip(*out, strict=True)
+                    g, r, d, pos, hi, w, hot = zip(*out, strict=True)
                     take = pa.array(d)
-                    yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(r, pa.binary()), pa.array(le, pa.binary()), batch.column(0).take(take), batch.column(1).take(take), pa.array(pos, pa.int32()), pa.array(hot)], names)
-
-    return docs.mapInArrow(run, f"g long, r binary, l binary, id {docs.schema['id'].dataType.simpleString()}, h long, pos int, hot boolean")
-
-
-def _common(a: bytes, b: bytes) -> int:
-    """Words that two packed sequences have in common from their start."""
-    n = min(len(a), len(b)) // SHORT
-    if a[: SHORT * n] == b[: SHORT * n]:
-        return n
-    lo, hi = 0, n
-    while hi - lo > 1:
-        mid = (lo + hi) // 2
-        if a[: SHORT * mid] == b[: SHORT * mid]:
-            lo = mid
-        else:
-            hi = mid
-    return lo
-
-
-class Group:
-    """Neighbouring suffixes with `left` words before and `right` words on in common."""
+                    yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(r, pa.binary()), batch.column(0).take(take), batch.column(1).take(take), pa.array(pos, pa.int32()), pa.array(hi, pa.int8()), pa.array(w, pa.binary()), pa.array(hot)], names)
 
-    __slots__ = ("members", "left", "right")
+    return docs.mapInArrow(run, f"g long, r binary, id {docs.schema['id'].dataType.simpleString()}, h long, pos int, hi byte, w binary, hot boolean")
 
-    def __init__(self, members: list, left: int, right: int):
-        self.members, self.left, self.right = members, left, right
 
+def neighbours(rows, whole) -> tuple:
+    """Compare sorted suffixes with their neighbours: (spans, runs).
 
-class Runs:
-    """Takes sorted suffixes one at a time; `out` gets (id, h, start, end, kept, owner id) of each group's members.
-
-    Groups nest as the intervals of a suffix array do: those that have more in
-    common close first, and their smallest member stands for them in the group
-    around.
+    `whole` tells of each row whether all suffixes of its k-gram are here.  A
+    span is (row, start, end, kept, owner row) of stretches that stand twice; a
+    run (row, start, hash) is a stretch at the smallest place of its run, of a
+    k-gram that is not whole.
     """
-
-    def __init__(self):
-        self.out: list = []
-        self.ends: list = []  # the smallest member of the first and of the last outermost group
-        self.stack: list = []
-        self.last = None
-        self.recent: list = []  # first members of the groups shortly before, of one k-gram
-        self.groups = 0
-
-    @staticmethod
-    def order(row):
-        return (row[3] is not None, row[3] if row[3] is not None else 0, row[4], row[5])
-
-    def add(self, row) -> None:
-        before, self.last = self.last, row
-        if before is not None and before[0] == row[0]:
-            left, right = _common(before[2], row[2]), _common(before[1], row[1])
-            if left + right >= LENGTH:
-                self.join(before, row, left, right)
-                return
-        self.close()
-        if before is None or before[0] != row[0]:
-            self.recent = []
-        best, other = LENGTH - 1, None
-        for near in self.recent:
-            if (n := _common(near[2], row[2]) + _common(near[1], row[1])) > best:
-                best, other = n, near
-        if other is not None:  # no neighbour, but one of those shortly before matches
-            self.report(Group([other, row], _common(other[2], row[2]), _common(other[1], row[1])))
-        self.recent = [*self.recent[1 - NEAR :], row]
-        self.stack = [Group([row], LEFT, LENGTH)]
-
-    def join(self, before, row, left: int, right: int) -> None:
-        """Put row, which has this much in common with the one before it, into the groups."""
-        near = (before, left, right)
-        while True:
-            top = self.stack[-1]
-            if len(top.members) == 1:
-                top.members.append(row)
-                top.left, top.right = min(top.left, left), min(top.right, right)
-                return
-            lower = (min(top.left, left), min(top.right, right))
-            if lower == (top.left, top.right):
-                if (left, right) == lower:
-                    top.members.append(row)
-                    if len(top.members) > HELD:
-                        top.members = list({id(m): m for m in (self.report(top), row)}.values())
-                else:
-                    self.stack.append(Group([before, row], left, right))
-                return
-            before = self.report(self.stack.pop())
-            left, right = lower
-            if left + right < LENGTH:  # the group as a whole does not match, its last member does
-                if self.stack:
-                    self.stack[-1].members.append(before)
-                self.close()
-                self.stack = [Group([near[0], row], near[1], near[2])]
-                return
-            if not self.stack:
-                self.stack = [Group([before, row], left, right)]
-                return
-            self.stack[-1].members.append(before)
-
-    def report(self, group: Group):
-        """Put out a group's members; returns the smallest, which keeps its stretch."""
-        owner = min(group.members, key=self.order)
-        if len(group.members) > 1:
-            for m in {id(m): m for m in group.members}.values():
-                self.out.append((m[3], m[4], m[5] - group.left, m[5] + group.right, m is owner, owner[3]))
-        return owner
-
-    def close(self) -> None:
-        """Report all open groups."""
-        owner = None
-        while self.stack:
-            top = self.stack.pop()
-            if owner is not None:
-                top.members.append(owner)
-            owner = self.report(top)
-        if owner is not None:
-            self.groups += 1
-            self.ends = [owner] if self.groups == 1 else [self.ends[0], owner]
-
-
-def matches(sorted_rows: DataFrame) -> DataFrame:
-    """Members of the groups in each sorted range, and (edge not null) its first and last group's smallest member with its suffix."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    n = rows.num_rows
+    g, pos, hi = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("g", "pos", "hi"))
+    hi = hi.astype(np.int64)
+    places = pa.table({c: rows.column(c) for c in ("id", "h", "pos")})
+    placed = pc.sort_indices(places, sort_keys=[(c, "ascending") for c in ("id", "h", "pos")], null_placement="at_end").to_numpy().astype(np.int64)
+    rank = np.empty(n, dtype=np.int64)
+    rank[placed] = np.arange(n)
+    w = rows.column("w").to_pylist()
+    counts = np.fromiter(map(len, w), dtype=np.int64, count=n) // 8
+    flat = np.frombuffer(b"".join(w), dtype=np.uint64)
+    base = np.cumsum(counts) - counts
+    row = np.repeat(np.arange(n), counts)
+    before = hi[row] - (np.arange(len(flat)) - base[row])  # words before the point
+    # the same stretch of the suffix before
+    last = np.maximum(row - 1, 0)
+    at = hi[last] - before
+    there = (row > 0) & (g[row] == g[last]) & (at >= 0) & (at < counts[last])
+    other = np.where(there, base[last] + at, 0)
+    same = there & (flat[other] == flat)
+    root = np.where(same, other, np.arange(len(flat)))
+    while True:
+        up = root[root]
+        if np.array_equal(up, root):
+            break
+        root = up
+    owner, size = np.full(len(flat), n, dtype=np.int64), np.bincount(root, minlength=len(flat))
+    np.minimum.at(owner, root, rank[row])
+    # runs of one stretch, where other suffixes lie between
+    here = np.flatnonzero((root == np.arange(len(flat))) & whole[row])
+    here = here[np.lexsort((owner[here], flat[here]))]
+    new = np.diff(flat[here], prepend=flat[here[:1]] + np.uint64(1)) != 0
+    group = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    owner[here], size[here] = owner[here[first]][group], np.bincount(group, weights=size[here]).astype(np.int64)[group]
+    found = np.flatnonzero(size[root] > 1)
+    who = placed[owner[root[found]]] if len(found) else found
+    cut = np.ones(len(found), dtype=bool)
+    cut[1:] = (np.diff(found) != 1) | (np.diff(row[found]) != 0) | (np.diff(who) != 0)
+    a = np.flatnonzero(cut)
+    b = np.concatenate([a[1:], [len(found)]])[: len(a)] - 1
+    mine = row[found[a]]
+    spans = (mine, pos[mine] - before[found[a]], pos[mine] - before[found[b]] + LENGTH, mine == who[a], who[a])
+    open_ = np.flatnonzero((root == np.arange(len(flat))) & ~whole[row])
+    own = placed[owner[open_]] if len(open_) else open_
+    return spans, (own, pos[own] - before[open_], flat[open_])
+
+
+def matches(sorted_rows: DataFrame, cut: bool) -> DataFrame:
+    """(id, h, start, end, kept, owner, w): spans, and with w not null the runs of k-grams that a task may hold only in part (cut: any at the ends of a batch; else a task holds k-grams whole)."""
     kind = sorted_rows.schema["id"].dataType.simpleString()
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
-        from pyspark import TaskContext
 
-        runs, here = Runs(), TaskContext.get().partitionId()
+        names = ["id", "h", "start", "end", "kept", "owner", "w"]
 
-        def table(rows, edges):
-            found = [(*r, None, None, None, None, None) for r in rows] + [(e[3], e[4], None, None, None, None, 2 * here + i, e[0], e[1], e[2], e[5]) for i, e in enumerate(edges)]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names)
+        def table(rows, whole):
+            (r, start, end, kept, who), (own, begin, w) = neighbours(rows, whole)
+            ids, h, take = rows.column("id"), rows.column("h"), pa.array(np.concatenate([r, own]))
+            none = lambda k, t: pa.nulls(k, t)
+            owner = pa.chunked_array([*ids.take(pa.array(who)).chunks, none(len(own), ids.type)], ids.type)
+            cols = [ids.take(take), h.take(take), pa.array(np.concatenate([start, begin]).astype(np.int32)), pa.array(np.concatenate([end, begin + LENGTH]).astype(np.int32)), pa.array(np.concatenate([kept, np.ones(len(own), dtype=bool)])), owner, pa.chunked_array([none(len(r), pa.int64()), pa.array(w.view(np.int64))])]
+            yield from pa.table(cols, names).combine_chunks().to_batches()
 
+        held = None
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                runs.add(row)
-                if len(runs.out) >= 50_000:
-                    yield table(runs.out, [])
-                    runs.out = []
-        runs.close()
-        if runs.out or runs.ends:
-            yield table(runs.out, runs.ends)
-
-    import pyarrow as pa
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    key = to_arrow_type(sorted_rows.schema["id"].dataType)
-    names = ["id", "h", "start", "end", "kept", "owner", "edge", "g", "r", "l", "pos"]
-    types = [key, pa.int64(), pa.int32(), pa.int32(), pa.bool_(), key, pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32()]
-    return sorted_rows.mapInArrow(run, f"id {kind}, h long, start int, end int, kept boolean, owner {kind}, edge long, g long, r binary, l binary, pos int")
+            rows = pa.Table.from_batches([batch])
+            if held is not None:
+                rows = pa.concat_tables([held, rows]).combine_chunks()
+                held = None
+            if not rows.num_rows:
+                continue
+            g = rows.column("g").to_numpy()
+            if cut:
+                yield from table(rows, (g != g[0]) & (g != g[-1]))
+                continue
+            edge = int(np.flatnonzero(g != g[-1])[-1]) + 1 if g[0] != g[-1] else 0
+            held = rows.slice(edge)
+            if edge:
+                yield from table(rows.slice(0, edge), np.ones(edge, dtype=bool))
+        if held is not None and held.num_rows:
+            yield from table(held, np.ones(held.num_rows, dtype=bool))
+
+    return sorted_rows.mapInArrow(run, f"id {kind}, h long, start int, end int, kept boolean, owner {kind}, w long")
 
 
 def repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, h, start, end, kept, owner): word ranges of documents that other places repeat; h is the text's hash."""
-    docs = df.select(F.col(key).alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
-    points = stage(grams(docs.where(F.length("text") >= 2 * LENGTH - 1)), "suffix-points")
-    often = points.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("hot", F.col("n") > HOT)
-    at = points.join(often, "g").groupBy("id", "h").agg(F.collect_set(F.struct("pos", "g", "hot")).alias("at"))
+    """(id, h, start, end, kept, owner): word ranges of documents that other places repeat; h is the text's hash, owner has the passage at an earlier place (kept: itself)."""
+    docs = df.select(F.col(key).alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("text")).where(F.length("text") >= 2 * LENGTH - 1)
+    docs = once(docs, ["id", "h"])
+    points = stage(grams(docs), "suffix-points")
+    often = points.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    hot = stage(often.where(F.col("n") > HOT), "suffix-hot")
+    facts = hot.agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")).head()
+    listed = F.broadcast(hot.select("g")) if facts["k"] <= LISTED else hot.select("g")
+    # a frequent k-gram never meets in one task: its points are taken out before the others are joined
+    some = points.join(listed, "g", "left_anti").join(often.select("g"), "g").withColumn("hot", F.lit(False)) if facts["k"] else points.join(often.select("g"), "g").withColumn("hot", F.lit(False))
+    if facts["k"]:
+        some = some.unionByName(points.join(listed, "g").withColumn("hot", F.lit(True)))
+    at = some.groupBy("id", "h").agg(F.collect_list(F.struct("pos", "g", "lo", "hi", "hot")).alias("at"))
     some = docs.join(at.withColumnsRenamed({"id": "_id", "h": "_h"}), F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).select("id", "h", "text", "at")
-    order = ["g", "r", "l", "id", "h", "pos"]
-    rows, hot = suffixes(some), often.where("hot").agg(F.sum("n")).head()[0]
-    if hot:
+    rows, order = suffixes(some), ["g", "r", "id", "h", "pos"]
+    if facts["k"]:
         rows = stage(rows, "suffix-rows")
-    # groups never cross k-grams, so only frequent ones need ranges that cut through them
-    ranked = rows.where("NOT hot").drop("hot").repartition("g").sortWithinPartitions(*order)
-    found = matches(ranked).where("edge IS NULL")
-    if hot:
-        ranges = max(2, min(MOST_RANGES, -(-hot // RANGE_ROWS)))
-        found = found.unionByName(matches(rows.where("hot").drop("hot").repartitionByRange(ranges, *order).sortWithinPartitions(*order)))
-    found = stage(found, "suffix-matches")
-    # the groups at the ranges' ends: two rows of 400 bytes for each range
-    edges = Runs()
-    for e in found.where("edge IS NOT NULL").orderBy("edge").select("g", "r", "l", "id", "h", "pos").collect():
-        row = (e["g"], bytes(e["r"]), bytes(e["l"]), e["id"], e["h"], e["pos"])
-        if row == edges.last:
-            continue
-        edges.add(row)
-    edges.close()
-    spans = found.where("edge IS NULL").select("id", "h", "start", "end", "kept", "owner")
-    if edges.out:
-        spans = spans.unionByName(df.sparkSession.createDataFrame(edges.out, spans.schema))
+    spans = matches(rows.where("NOT hot").drop("hot").repartition("g").sortWithinPartitions(*order), cut=False).drop("w")
+    if facts["k"]:
+        ranges = max(2, -(-facts["n"] // RANGE_ROWS))
+        parts = stage(matches(rows.where("hot").drop("hot").repartitionByRange(ranges, *order).sortWithinPartitions(*order), cut=True), "suffix-runs")
+        place = F.struct(F.col("id").isNull().alias("n"), "id", "h", "start")
+        runs = parts.where("w IS NOT NULL").withColumn("place", place)
+        first = runs.groupBy("w").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        met = runs.drop("kept", "owner").join(first, "w").select("id", "h", "start", "end", (F.col("place") == F.col("first")).alias("kept"), F.col("first.id").alias("owner"))
+        spans = spans.unionByName(parts.where("w IS NULL").drop("w")).unionByName(met)
     return spans
 
 
@@ -355,11 +312,11 @@ def merged(spans: DataFrame) -> DataFrame:
 
 
 def passages(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each document with a repeated passage: its spans (words start to end), those that repeat an earlier place, and the documents that keep them."""
+    """A row for each document with a repeated passage: its spans (words start to end), those that repeat an earlier place, and documents with the earlier places."""
     spans = stage(repeats(df, key, text), "suffix-spans")
     all_of = _listed(merged(spans), "spans", "repeated_words")
     gone = _listed(merged(spans.where("NOT kept")), "removed", "removed_words")
-    owners = spans.groupBy("id", "h").agg(F.array_sort(F.collect_set("owner")).alias("owners"))
+    owners = spans.groupBy("id", "h").agg(F.array_sort(F.collect_set(F.when(~F.col("kept"), F.col("owner")))).alias("owners"))
     got = all_of.join(owners, ["id", "h"]).join(gone, ["id", "h"], "left")
     none = F.array().cast(gone.schema["removed"].dataType)
     return got.select(F.col("id").alias(key), F.size("spans").alias("n_spans"), "repeated_words", F.coalesce("removed_words", F.lit(0)).cast("long").alias("removed_words"), "spans", F.coalesce("removed", none).alias("removed"), "owners")
