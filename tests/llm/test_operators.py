@@ -89,19 +89,51 @@ def test_toxicity_held_out(spark):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     got = toxicity.judged(spark.read.parquet(f"{sf}/documents.parquet"), labels).join(labels, "doc_id").where("held_out").select("score", "predicted", "toxic").collect()
     hit = sum(r["predicted"] and r["toxic"] for r in got)
-    assert hit >= 0.65 * sum(r["toxic"] for r in got)
+    assert hit >= 0.7 * sum(r["toxic"] for r in got)
     assert hit >= 0.98 * sum(r["predicted"] for r in got)
     pos, neg = [r["score"] for r in got if r["toxic"]], [r["score"] for r in got if not r["toxic"]]
-    assert sum(p > n for p in pos for n in neg) / (len(pos) * len(neg)) > 0.9
+    assert sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg)) > 0.96
 
 
-def test_toxicity_learns_a_pair():
+@pytest.mark.parametrize("label", [lambda a, b: a and b, lambda a, b: a != b, lambda a, b: a == b])
+def test_toxicity_learns_a_pair(label):
+    """Labels that only the pair tells: in the last two neither term goes with the label by itself."""
     rnd = random.Random(3)
     words = [toxicity._bucket(w) for w in ("insult", "group")]
-    rows = [(int(a and b), [w for w, on in zip(words, (a, b)) if on]) for _ in range(2000) for a, b in [(rnd.random() < 0.5, rnd.random() < 0.5)]]
+    noise = [toxicity._bucket(f"w{i}") for i in range(300)]
+    rows = [(int(label(a, b)), sorted({*rnd.sample(noise, 10), *(w for w, on in zip(words, (a, b)) if on)})) for _ in range(4000) for a, b in [(rnd.random() < 0.5, rnd.random() < 0.5)]]
     m = toxicity.fit(rows)
-    both, one = sorted(m.at.values()), [min(m.at.values())]
-    assert m.raw(both) > 1 and m.raw(one) < -1 and m.raw([]) < -1
+    assert set(words) <= set(m.at)
+    for a in (False, True):
+        for b in (False, True):
+            z = m.raw([m.at[w] for w, on in zip(words, (a, b)) if on])
+            assert z > 0.5 if label(a, b) else z < -0.5
+
+
+def test_toxicity_score_is_the_sum_over_pairs(spark):
+    import numpy as np
+
+    g = np.random.default_rng(1)
+    terms = ["alpha", "beta", "gamma", "delta"]
+    at = sorted(toxicity._bucket(t) for t in terms)
+    m = toxicity.Machine(at, 0.3, g.normal(size=4), g.normal(size=(4, toxicity.FACTORS)))
+    texts = ["", None, "alpha", "Alpha beta-GAMMA alpha", "delta gamma beta alpha x", "nothing known"]
+    for r in toxicity.score(docs(spark, texts), m).collect():
+        hot = [at.index(toxicity._bucket(t)) for t in terms if t in (r["text"] or "").lower()]
+        z = 0.3 + sum(m.w[i] for i in hot) + sum(m.v[i] @ m.v[j] for k, i in enumerate(hot) for j in hot[:k])
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-12)
+
+
+def test_toxicity_bounds_rows_of_one_id(spark):
+    rows = [(0, f"text {i}") for i in range(500)] + [(2, "other")] * 300 + [(i, f"word{i % 7}") for i in range(3, 40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    seen = []
+    fit, toxicity.fit = toxicity.fit, lambda got: seen.extend(got) or fit(got)
+    try:
+        toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), labels, bound=100)
+    finally:
+        toxicity.fit = fit
+    assert len(seen) == 100
 
 
 def test_toxicity_odd(spark, odd, none):
