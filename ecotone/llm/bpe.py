@@ -1,9 +1,13 @@
 """Byte-level BPE: DuckDB recursive queries, one in-process database for each partition's worker.
 
-The token positions of each new word join the merge table; every step contracts
-a word's leftmost pair of least rank, until no pair is in the table.  Decoding
-joins the ids with the vocabulary and aggregates their bytes in order.  Words
-repeat, so a worker keeps what it has computed in a bounded cache.
+The token positions of new words are rows that join the merge table; every step
+contracts each word's leftmost pair of least rank, until no pair is in the
+table.  The recursion is keyed by position, so it holds each position once.
+Decoding joins the ids with the vocabulary and aggregates their bytes in order;
+this goes for words that are a token, too.  Words repeat, so a worker keeps
+what it has computed in a bounded cache.  A step visits every position of a
+word that is still open, so runs of LONG bytes and more without a boundary take
+a heap over the same table instead, by the same rule.
 
 Nulls count as empty texts.  An empty text has no ids.  Ids, texts and hashes
 of equal texts are equal.  Other columns pass through the general operators;
@@ -20,52 +24,32 @@ from pyspark.sql import functions as F
 
 from ecotone.llm.shared import worker_cache
 
-#: Units in the younger half of a worker's cache; beyond this many it becomes the older half. Memory only, results do not depend on it.
-CACHE = 150_000
+#: Entries in the younger half of a worker's cache; beyond this many it becomes the older half. Memory only, results do not depend on it.
+CACHE = 300_000
 #: Words that one recursive query takes.
 WORDS = 10_000
 #: Characters that are encoded at a time.
 CHUNK = 2_000_000
-#: Bytes from which a word takes the positional query, which contracts every leftmost-first occurrence of the pair in a step.
-LONG = 192
+#: Bytes from which a word is contracted by a heap.
+LONG = 512
 
 MERGE = """
-WITH RECURSIVE t(step, w, toks) AS (
-  SELECT 0, w, list(tok ORDER BY pos) FROM init GROUP BY w
-  UNION ALL
-  SELECT step + 1, w, toks[:(best & 4294967295) - 1] || [best >> 32] || toks[(best & 4294967295) + 2:]
-  FROM t JOIN (
-    SELECT w, min((m.m::BIGINT << 32) | i) AS best
-    FROM (SELECT w, unnest(list_transform(range(1, len(toks)), lambda i : (toks[i] << 20) | toks[i + 1])) AS lr,
-                 unnest(range(1, len(toks))) AS i FROM t) AS pairs
-    JOIN merges m USING (lr) GROUP BY w) AS least USING (w))
-SELECT w, arg_max(toks, step) AS toks FROM t GROUP BY w
+WITH RECURSIVE t(w, pos, tok, nxt) USING KEY (w, pos) AS (
+  SELECT w, pos, tok, nxt FROM init
+  UNION
+  (WITH active AS (SELECT DISTINCT w FROM t),
+   live AS (SELECT r.* FROM recurring.t r JOIN active USING (w) WHERE r.tok >= 0),
+   pairs AS (SELECT a.w, a.pos, b.pos AS gone, b.nxt, m.m FROM live a JOIN live b ON b.w = a.w AND b.pos = a.nxt JOIN merges m ON m.lr = ((a.tok << 20) | b.tok)),
+   least AS (SELECT w, min((m::BIGINT << 32) | pos) AS best FROM pairs GROUP BY w),
+   hit AS (SELECT pairs.* FROM pairs JOIN least ON least.w = pairs.w AND least.best = (pairs.m::BIGINT << 32) | pairs.pos)
+   SELECT w, pos, m, nxt FROM hit UNION ALL SELECT w, gone, -1, -1 FROM hit))
+SELECT w, pos, tok FROM t WHERE tok >= 0
 """
 
-MERGE_LONG = """
-WITH RECURSIVE t(step, w, pos, tok) AS (
-  SELECT 0, w, pos, tok FROM init
-  UNION ALL
-  SELECT step + 1, w, pos, CASE WHEN cut THEN best ELSE tok END FROM (
-    SELECT *, coalesce(lag(cut) OVER seq, false) AS gone FROM (
-      SELECT *, hit AND (k - coalesce(max(CASE WHEN NOT hit THEN k END) OVER seq, 0)) % 2 = 1 AS cut FROM (
-        SELECT *, coalesce(m = best, false) AS hit, row_number() OVER seq AS k FROM (
-          SELECT p.step, p.w, p.pos, p.tok, m.m, min(m.m) OVER (PARTITION BY p.w) AS best
-          FROM (SELECT *, (tok << 20) | lead(tok) OVER seq AS lr FROM t WINDOW seq AS (PARTITION BY w ORDER BY pos)) p
-          LEFT JOIN merges m USING (lr)) AS ranked
-        WHERE best IS NOT NULL WINDOW seq AS (PARTITION BY w ORDER BY pos)) AS hits
-      WINDOW seq AS (PARTITION BY w ORDER BY pos)) AS cuts
-    WINDOW seq AS (PARTITION BY w ORDER BY pos)) AS marked
-  WHERE NOT gone)
-SELECT w, list(tok ORDER BY pos) AS toks FROM (SELECT *, max(step) OVER (PARTITION BY w) AS last FROM t) AS s WHERE step = last GROUP BY w
-"""
-
-#: Around either query: a word's ids as text, their number, and their bytes (as Latin-1), aggregated in order.
-AND_BACK = """
-WITH got AS MATERIALIZED ({merge}), back AS (
-  SELECT w, string_agg(s, '' ORDER BY pos) AS s
-  FROM (SELECT w, unnest(toks) AS id, generate_subscripts(toks, 1) AS pos FROM got) AS p JOIN vocab USING (id) GROUP BY w)
-SELECT w, array_to_string(toks, ' ') AS ids, CAST(len(toks) AS INTEGER) AS n, s FROM got JOIN back USING (w)
+#: Around it: a word's ids as text, each after a space, and their bytes (as Latin-1), aggregated in order.
+AND_BACK = f"""
+WITH got AS ({MERGE} UNION ALL SELECT w, pos, tok FROM whole)
+SELECT w, ' ' || string_agg(tok, ' ' ORDER BY pos) AS ids, string_agg(s, '' ORDER BY pos) AS s FROM got JOIN vocab ON id = tok GROUP BY w
 """
 
 DECODE = """
@@ -86,7 +70,7 @@ class Codec:
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.gap = re.compile(r"(?<=\s) ")
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "150MB"})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         left, to = [], []
         for token, rank in ranks.items():
             for i in range(1, len(token)):
@@ -100,28 +84,61 @@ class Codec:
         self.con.execute("CREATE TABLE vocab AS SELECT * FROM _v")
         self.con.unregister("_m")
         self.con.unregister("_v")
-        self.words: dict = {}
-        self.after_space: dict = {}
-        self.older: tuple = ({}, {})
+        self.pairs = dict(zip(left, to, strict=True))
+        self.known: dict = {}
+        self.older: dict = {}
 
     def _merge(self, words: list) -> list:
-        """(ids as text, number of ids, bytes of the ids) of each byte string, by the recursive queries."""
+        """(ids as text, bytes of the ids) of each byte string, by the recursive query; ids of tokens and of long words are known before."""
         import numpy as np
         import pyarrow as pa
 
         out: list = [None] * len(words)
-        for sql, part in ((MERGE, [i for i, w in enumerate(words) if len(w) < LONG]), (MERGE_LONG, [i for i, w in enumerate(words) if len(w) >= LONG])):
-            if not part:
-                continue
-            lens = np.array([len(words[i]) for i in part])
-            flat = np.frombuffer(b"".join([words[i] for i in part]), dtype=np.uint8)
-            at = np.arange(len(flat), dtype=np.int64) - np.repeat(np.cumsum(lens) - lens, lens)
-            self.con.register("init", pa.table({"w": np.repeat(np.array(part, dtype=np.int64), lens), "pos": at, "tok": self.byte[flat]}))
-            for w, ids, n, s in self.con.execute(AND_BACK.format(merge=sql)).fetchall():
-                out[w] = (ids, n, s.encode("latin-1"))
-            self.con.unregister("init")
+        whole: list = []
+        part = []
+        for i, w in enumerate(words):
+            if (r := self.ranks.get(w)) is not None:
+                whole.append((i, 0, r))
+            elif len(w) >= LONG:
+                whole.extend((i, k, r) for k, r in enumerate(self._heap(w)))
+            else:
+                part.append(i)
+        lens = np.array([len(words[i]) for i in part], dtype=np.int64)
+        flat = np.frombuffer(b"".join([words[i] for i in part]), dtype=np.uint8)
+        at = np.arange(len(flat), dtype=np.int64) - np.repeat(np.cumsum(lens) - lens, lens)
+        after = at + 1
+        after[np.cumsum(lens) - 1] = -1
+        self.con.register("init", pa.table({"w": np.repeat(np.array(part, dtype=np.int64), lens), "pos": at, "tok": self.byte[flat], "nxt": after}))
+        self.con.register("whole", pa.table(list(zip(*whole, strict=True)) and [pa.array(c, pa.int64()) for c in zip(*whole, strict=True)] or [pa.array([], pa.int64())] * 3, ["w", "pos", "tok"]))
+        for w, ids, s in self.con.execute(AND_BACK).fetchall():
+            out[w] = (ids, s.encode("latin-1"))
+        self.con.unregister("init")
+        self.con.unregister("whole")
         return out
 
+    def _heap(self, word: bytes) -> list:
+        """The ids of one long word: the leftmost pair of least rank first, from a heap of (rank, position, both tokens)."""
+        from heapq import heapify, heappop, heappush
+
+        n, pairs = len(word), self.pairs
+        tok = [int(self.byte[b]) for b in word]
+        after, before = [*range(1, n), -1], list(range(-1, n - 1))
+        heap = [(m, i, tok[i], tok[i + 1]) for i in range(n - 1) if (m := pairs.get((tok[i] << 20) | tok[i + 1])) is not None]
+        heapify(heap)
+        while heap:
+            m, i, x, y = heappop(heap)
+            j = after[i]
+            if tok[i] != x or j < 0 or tok[j] != y:
+                continue
+            tok[i], tok[j], k = m, -1, after[j]
+            after[i] = k
+            if k >= 0:
+                before[k] = i
+            for p, q in ((before[i], i), (i, k)):
+                if p >= 0 and q >= 0 and (m := pairs.get((tok[p] << 20) | tok[q])) is not None:
+                    heappush(heap, (m, p, tok[p], tok[q]))
+        return [t for t in tok if t >= 0]
+
     def decode(self, ids: list) -> list:
         """The bytes of each list of ids, by ordered aggregation."""
         import pyarrow as pa
@@ -133,89 +150,68 @@ class Codec:
         self.con.unregister("got")
         return out
 
-    def _place(self, word: str) -> tuple:
-        """The cache and key of a word: one that starts with a space is also the unit of the text after it."""
-        return (self.after_space, word[1:]) if word[0] == " " and len(word) > 1 else (self.words, word)
+    def _learn(self, units: set, words: set) -> None:
+        """Put the new units and words into the cache: (ids as text, each after a space; decoded bytes).
 
-    def _known(self, word: str):
-        cache, key = self._place(word)
-        return cache[key]
-
-    def _learn(self, words: set) -> None:
-        """Put (ids as text, number of ids, decoded bytes) of each new word into the cache."""
+        A unit's key is its text without the space before it, which holds no
+        space; a word's key is the word after a space.
+        """
+        known, older, find = self.known, self.older, self.pattern.findall
+        found, need, value = {}, dict.fromkeys(words), {}
+        for x in units:
+            if (got := older.get(x)) is not None:
+                known[x] = got
+            else:
+                f = found[x] = find(" " + x)
+                need.update(dict.fromkeys(f))
         new = []
-        for w in words:
-            cache, key = self._place(w)
-            if key not in cache:
-                if (got := self.older[cache is self.after_space].get(key)) is not None:
-                    cache[key] = got
-                else:
-                    new.append(w)
+        for w in need:
+            got = known.get(" " + w) or older.get(" " + w)
+            if got is None and w[0] == " " and len(w) > 1 and " " not in w[1:] and (got := known.get(w[1:]) or older.get(w[1:])) is not None and find(w) != [w]:
+                got = None
+            if got is None:
+                new.append(w)
+            else:
+                value[w] = got
+        new.sort(key=len)  # the recursion of a lot goes on until its longest word is done
         for k in range(0, len(new), WORDS):
             part = new[k : k + WORDS]
-            raw = [w.encode("utf-8", "surrogatepass") for w in part]
-            whole = [self.ranks.get(b) for b in raw]
-            rest = [i for i, r in enumerate(whole) if r is None]
-            for i, got in zip(rest, self._merge([raw[i] for i in rest]), strict=True):
-                cache, key = self._place(part[i])
-                cache[key] = got
-            for w, b, r in zip(part, raw, whole, strict=True):
-                if r is not None:  # the word is a token
-                    cache, key = self._place(w)
-                    cache[key] = (str(r), 1, b)
-
-    def _unit(self, words: list) -> tuple:
-        got = [self._known(w) for w in words]
-        if len(got) == 1:
-            return got[0]
-        return (" ".join([g[0] for g in got]), sum([g[1] for g in got]), b"".join([g[2] for g in got]))
+            value.update(zip(part, self._merge([w.encode("utf-8", "surrogatepass") for w in part]), strict=True))
+        for w in need:
+            if w in words or w[0] != " ":
+                known[" " + w] = value[w]
+        for x, f in found.items():
+            known[x] = value[f[0]] if len(f) == 1 else ("".join([value[w][0] for w in f]), b"".join([value[w][1] for w in f]))
 
     def encode(self, texts: list) -> list:
-        """For each text the list of its units: (ids as text, number of ids, decoded bytes).
+        """For each text its ids as text, each after a space, and their decoded bytes.
 
         A boundary between two matches of the pattern lies before each space
         whose predecessor is no white space, so the text between such spaces is
         a unit that can be cached; texts with other spaces go match by match.
         """
-        if len(self.after_space) > CACHE or len(self.words) > CACHE:
-            self.older = (self.words, self.after_space)
-            self.words, self.after_space = {}, {}
-        known, find = self.after_space, self.pattern.findall
-        cuts, firsts, plain, later = [], [], [], set()
-        words: set = set()
+        if len(self.known) > CACHE:
+            self.older, self.known = self.known, {}
+        known, find = self.known, self.pattern.findall
+        parts, units, words = [], set(), set()
         for t in texts:
             if self.gap.search(t):
-                cuts.append(None)
-                firsts.append(None)
-                plain.append(find(t))
-                words.update(plain[-1])
+                keys = [" " + w for w in find(t)]
+                words.update(w[1:] for w in keys if w not in known)
             else:
-                p = t.split(" ")
-                cuts.append(p)
-                firsts.append(find(p[0]))
-                plain.append(None)
-                words.update(firsts[-1])
-                later.update(p[1:])
-        units, older = {}, self.older[1]
-        for p in later:
-            if p not in known:
-                if (got := older.get(p)) is not None:
-                    known[p] = got
-                else:
-                    found = find(" " + p)
-                    words.update(found)
-                    if len(found) > 1 or not p:
-                        units[p] = found
-        self._learn(words)
-        for p, found in units.items():
-            known[p] = self._unit(found)
+                keys = t.split(" ")
+                first = [" " + w for w in find(keys[0])]
+                words.update(w[1:] for w in first if w not in known)
+                keys = keys[1:]
+                units.update(keys)
+                keys[:0] = first
+            parts.append(keys)
+        units.difference_update(known)
+        self._learn(units, words)
         out = []
-        for p, f, q in zip(cuts, firsts, plain, strict=True):
-            if p is None:
-                out.append([self._known(w) for w in q])
-            else:
-                rest = [known[x] for x in p[1:]]
-                out.append([self._unit(f), *rest] if f else rest)
+        for keys in parts:
+            got = [known[x] for x in keys]
+            out.append(("".join([g[0] for g in got]), b"".join([g[1] for g in got])))
         return out
 
 
@@ -262,7 +258,7 @@ def encode(df: DataFrame, ranks: dict, pattern: str, text: str = "text", into: s
         codec = _codec(shared.value, pattern)
         for batch in batches:
             for start, texts in _chunks(batch.column(batch.schema.get_field_index(text))):
-                ids = [[int(i) for u in units for i in u[0].split()] for units in codec.encode(texts)]
+                ids = [[int(i) for i in got[0].split()] for got in codec.encode(texts)]
                 part = batch.slice(start, len(texts))
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in kept), pa.array(ids, pa.list_(pa.int32()))], [*kept, into])
 
@@ -300,10 +296,10 @@ def round_trip(df: DataFrame, ranks: dict, pattern: str, key: str = "doc_id", te
         for batch in batches:
             for start, texts in _chunks(batch.column(1)):
                 n, ids, back = [], [], []
-                for units in codec.encode(texts):
-                    n.append(sum([u[1] for u in units]))
-                    ids.append(hashlib.sha256(" ".join([u[0] for u in units]).encode()).hexdigest())
-                    back.append(hashlib.sha256(b"".join([u[2] for u in units])).hexdigest())
+                for got, decoded in codec.encode(texts):
+                    n.append(got.count(" "))
+                    ids.append(hashlib.sha256(got[1:].encode()).hexdigest())
+                    back.append(hashlib.sha256(decoded).hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), pa.array(n, pa.int64()), pa.array(ids), pa.array(back)], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return df.select(F.col(key), F.col(text)).mapInArrow(run, schema)

@@ -75,10 +75,47 @@ def test_bpe_odd(odd, none, tokenizer):
 def test_bpe_cache_may_turn_over(monkeypatch, tokenizer):
     monkeypatch.setattr(bpe, "CACHE", 5)
     codec = bpe.Codec(*tokenizer)
-    texts = [prose(random.Random(i), 30) for i in range(20)]
-    fresh = [[u[0] for u in codec.encode([t])[0]] for t in texts]
+    texts = [prose(random.Random(i), 30) + ",\n x" for i in range(20)]
+    fresh = [codec.encode([t])[0] for t in texts]
     monkeypatch.setattr(bpe, "CACHE", 10**6)
-    assert [[u[0] for u in x] for x in bpe.Codec(*tokenizer).encode(texts)] == fresh
+    assert bpe.Codec(*tokenizer).encode(texts) == fresh
+
+
+def test_bpe_heap_and_recursion_agree_for_any_ranks(monkeypatch):
+    """Also where a token ranks below its parts, so that a contraction may make a pair of less rank."""
+    import tiktoken
+
+    rnd = random.Random(41)
+    ranks = {bytes([b]): b for b in range(256)}
+    more = set()
+    while len(more) < 400:
+        more.add(bytes(rnd.choice(b"abcd") for _ in range(rnd.randint(2, 5))))
+    more = sorted(more)
+    rnd.shuffle(more)
+    ranks |= {t: 256 + i for i, t in enumerate(more)}
+    own = tiktoken.Encoding("own", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})
+    texts = ["".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 80))) for _ in range(200)] + ["a" * 301, "ab" * 200]
+    for long in (1, 10**6):
+        monkeypatch.setattr(bpe, "LONG", long)
+        got = bpe.Codec(ranks, r"\S+|\s+").encode(texts)
+        assert [[int(i) for i in g[0].split()] for g in got] == [own.encode_ordinary(t) for t in texts]
+        assert [g[1].decode() for g in got] == texts
+
+
+def test_bpe_of_a_word_of_a_million_letters(tokenizer):
+    import time
+
+    text = "".join(random.Random(2).choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJ", k=1_000_000))
+    began = time.time()
+    ids, back = bpe.Codec(*tokenizer).encode([text])[0]
+    assert back.decode() == text and ids.count(" ") > 100_000 and time.time() - began < 60
+
+
+def test_bpe_decodes_tokens_by_the_vocabulary(tokenizer):
+    ranks, pattern = tokenizer
+    codec = bpe.Codec(ranks, pattern)
+    codec.con.execute("UPDATE vocab SET s = '?' WHERE id = ?", [ranks[b" the"]])
+    assert codec.encode(["of the"])[0][1] == b"of?"
 
 
 # 2
