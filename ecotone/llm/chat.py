@@ -1,7 +1,8 @@
 """Chat formatting: event-sourced reconstruction, a reversible template and its loss mask.
 
 An event log has a conversation, a sequence number, a message key, a kind and a
-text.  The log is dealt by message, sorted by sequence and folded: `message`
+text.  The log is partitioned by conversation and, as a conversation may hold a
+third of all events, further by message, sorted by sequence and folded: `message`
 and `edit` set the text, `delta` appends to it, `regenerate` starts it anew,
 `delete` takes the message away (a later `message` or `edit` brings it back).
 Messages stand where their first event stood.  Then each message is rendered
@@ -159,7 +160,27 @@ def digest(pieces: DataFrame, conv: str = "conv_id", seq: str = "seq") -> DataFr
     return rows.mapInArrow(run, f"`{conv}` {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
+#: Characters of a streamed delta, and of a draft.
+DELTA, DRAFT = 256, 16
+
+
+def streamed(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """The event log that a chat service would have written for a table of finished turns.
+
+    A learned turn begins with a draft that is regenerated, and its text comes
+    in deltas; any other is sent as a draft and edited.  seq is (turn, number
+    of the event); every row is a message of its own, though rows repeat.
+    """
+    rows = conversations.select(F.col(conv), F.col(turn).alias("__turn"), F.col(role), F.coalesce(F.col(text), F.lit("")).alias("__text"), F.monotonically_increasing_id().alias("message"))
+    event = lambda kind, t: F.struct(F.lit(kind).alias("kind"), t.alias("text"))
+    draft = F.left("__text", F.lit(DRAFT))
+    deltas = F.transform(F.regexp_extract_all("__text", F.lit(f"(?s).{{1,{DELTA}}}"), F.lit(0)), lambda t: event("delta", t))
+    said = F.concat(F.array(event("message", draft), event("regenerate", F.lit(""))), deltas)
+    sent = F.array(event("message", draft), event("edit", F.col("__text")))
+    log = rows.select(conv, "__turn", role, "message", F.posexplode(F.when(F.col(role) == LEARNED, said).otherwise(sent)).alias("__part", "__e"))
+    return log.select(F.col(conv), F.struct(F.col("__turn").alias("turn"), F.col("__part").alias("part")).alias("seq"), "message", F.col("__e.kind").alias("kind"), F.col(role), F.col("__e.text").alias(text))
+
+
 def format_chats(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """The rendered pieces of a table of finished turns: its rows as `message` events, folded and rendered."""
-    events = conversations.select(conv, F.col(turn).alias("seq"), F.monotonically_increasing_id().alias("message"), F.lit("message").alias("kind"), role, text)
-    return render(fold_events(events, conv, "seq", "message", "kind", role, text), conv, "seq", role, text)
+    """The rendered pieces of a table of finished turns: its event log, folded and rendered; seq is (turn, 0)."""
+    return render(fold_events(streamed(conversations, conv, turn, role, text), conv, "seq", "message", "kind", role, text), conv, "seq", role, text)

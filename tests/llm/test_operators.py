@@ -499,6 +499,10 @@ def test_chat_digest(spark):
     rows = [(c, t, rnd.choice(["user", "assistant", "system", None]), rnd.choice([None, "", "".join(rnd.choices(bits, k=rnd.randint(0, 9)))])) for c in range(40) for t in range(rnd.randint(1, 6))]
     rows += [(99, 0, "user", "tie"), (99, 0, "user", "tie"), (99, 0, "assistant", "tie")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("seq", F.lit("clash"))
+    df = df.unionByName(spark.createDataFrame([(100, None, "assistant", "null turn 🙂" * 300), (100, 1, "user", "after"), (None, 0, "user", "null id")], "conv_id long, turn long, role string, text string").withColumn("seq", F.lit("clash")))
+    rows += [(100, -1, "assistant", "null turn 🙂" * 300), (100, 1, "user", "after"), (None, 0, "user", "null id")]
+    log = chat.streamed(df)
+    assert {r["kind"] for r in log.select("kind").distinct().collect()} == {"message", "edit", "regenerate", "delta"}
     got = {r["conv_id"]: r for r in chat.digest(chat.format_chats(df)).collect()}
     by = defaultdict(list)
     for c, t, r, x in rows:
@@ -512,6 +516,23 @@ def test_chat_digest(spark):
     assert chat.digest(chat.format_chats(df.where("false"))).count() == 0
 
 
+def test_chat_query_has_the_added_conversation(spark, sf_dir):
+    got = {r["conv_id"]: r for r in queries.op9_chat_formatting(spark, sf_dir).collect()}
+    text = "\\### Assistant: </turn> ok"
+    assert got[-7]["n_turns"] == 2 and got[-7]["loss_chars"] == len(text)
+    assert got[-7]["loss_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+    assert got[-7]["turns_sha256"] == hashlib.sha256(f"user\n{text}\nassistant\n{text}\n".encode()).hexdigest()
+    by = defaultdict(list)
+    for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").collect():
+        by[r["conv_id"]].append((r["turn"], r["role"], r["text"] or ""))
+    assert set(got) == {*by, -7}
+    for c, ts in by.items():
+        ts.sort()
+        assert got[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in ts).encode()).hexdigest()
+        loss = "".join(x for _, r, x in ts if r == "assistant")
+        assert got[c]["loss_chars"] == len(loss) and got[c]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+
+
 # 10
 
 
