@@ -19,8 +19,24 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path): a rule fits its host and all subdomains if the path starts with the rule's; the longest wins.
 HOST_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
-#: Globs over `.host#path` that block a URL which no host rule fits.
-BLOCK_GLOBS = ("*casino*#*", "*free-bets*#*", "*cheap-pills*#*")
+#: Globs over `.host#path` that block a URL which no host rule fits, by kind. All letters of a host are lower case, a path keeps its case.
+BLOCK_GLOBS = (
+    # gambling
+    "*casino*#*", "*free-bets*#*", "*.bet#*", "*.poker#*", "*sportsbook*#*", "*jackpot*#*", "*slots-online*#*",
+    # pills, loans and the like
+    "*cheap-pills*#*", "*viagra*#*", "*payday-loan*#*", "*replica-watch*#*", "*essay-writ*#*",
+    # adult
+    "*.xxx#*", "*.porn#*", "*.adult#*", "*.sex#*", "*sexcam*#*",
+    # advertisements and trackers
+    ".ads.*#*", ".adserver.*#*", "*doubleclick.*#*", "*.tracker.*#*", "*#/ads/*", "*#*/adclick*", "*#*/pixel.gif",
+    # pages without prose
+    "*#*/wp-login.php*", "*#*/wp-admin/*", "*#/cgi-bin/*", "*#*/login", "*#*/signin", "*#*/cart/*", "*#*/checkout/*", "*#*/calendar/*/*/*",
+    # files that hold no text
+    "*#*.exe", "*#*.dmg", "*#*.apk", "*#*.iso", "*#*.zip", "*#*.rar", "*#*.7z", "*#*.tar.gz", "*#*.jpg", "*#*.jpeg", "*#*.png", "*#*.gif",
+    "*#*.mp3", "*#*.mp4", "*#*.avi", "*#*.css", "*#*.js", "*#*.woff", "*#*.woff2",
+    # addresses that are numbers only
+    ".10.*.*.*#*", ".127.*.*.*#*", ".192.168.*.*#*", ".localhost#*",
+)
 
 
 def symbols(glob: str) -> list:
@@ -145,14 +161,14 @@ def judge(df: DataFrame, url: str = "url", rules=HOST_RULES, block=BLOCK_GLOBS)
     return cut.mapInArrow(run, schema)
 
 
-SQL = """
+SQL = f"""
 WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM u),
-p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+p AS (SELECT page_id, translate(raw, '{UPPER}', '{LOWER}') AS host,
              regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
-r(verdict, rhost, rpath) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+r(verdict, rhost, rpath) AS (VALUES {", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in HOST_RULES)}),
 best AS (SELECT page_id, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(verdict, length(rhost || rpath)) AS verdict
          FROM p JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id)
-SELECT p.page_id, host, path, rule, coalesce(verdict, CASE WHEN contains(host, 'casino') OR contains(host, 'free-bets') OR contains(host, 'cheap-pills') THEN 'block' ELSE 'allow' END) AS verdict
+SELECT p.page_id, host, path, rule, coalesce(verdict, CASE WHEN {" OR ".join(f"'.' || host || '#' || path GLOB '{g}'" for g in BLOCK_GLOBS)} THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN best USING (page_id)
 """

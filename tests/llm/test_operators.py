@@ -211,6 +211,16 @@ def test_url_rules(spark, none):
     assert urls.judge(df.where("false")).count() == 0
 
 
+def test_default_globs(spark):
+    cases = {"https://ads.shop.de/x": "block", "http://shop.de/ads/1": "block", "http://shop.de/a/photo.jpg": "block", "http://shop.de/a/photo.jpg/about": "allow", "http://pads.shop.de/loads/": "allow", "http://192.168.0.1/": "block", "http://x.bet/": "block", "http://alphabet.de/": "allow", "http://a.de/login": "block", "http://a.de/logins": "allow"}
+    got = {r["url"]: r["verdict"] for r in urls.judge(spark.createDataFrame([(u,) for u in cases], "url string")).collect()}
+    assert got == cases
+    machine = urls.Automaton(urls.BLOCK_GLOBS)
+    assert machine.words > 4
+    texts = [f".{u.split('://')[1].split('/')[0]}#/{u.split('://')[1].partition('/')[2]}" for u in cases]
+    assert [any(row) for row in machine.matches([t.encode() for t in texts])] == [any(fnmatchcase(t, g) for g in urls.BLOCK_GLOBS) for t in texts]
+
+
 # 4
 
 
