@@ -58,6 +58,11 @@ def literal_rows(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
 
 
+def small(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """df marked for broadcasting if it has at most `most` rows, counted now; else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def range_bucket(df: DataFrame, key: str, rows: int, most: int = 8192) -> tuple[DataFrame, int]:
     """Add `_bucket`, the range of the numeric column `key` a row falls in, of about `rows` rows; returns the number of buckets too.
 

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ecotone.llm.shared import GAPS, WORD, once, stage, worker_cache
+from ecotone.llm.shared import GAPS, WORD, once, small, stage, worker_cache
 
 #: Words of the shortest passage, and of a sample point's k-gram.
 LENGTH = 50
@@ -34,8 +34,6 @@ CHUNK = 1_000_000
 #: Sample points of a k-gram from which it is sorted by range, and rows of such a range.
 HOT = 20_000
 RANGE_ROWS = 20_000
-#: Frequent k-grams up to which their list (8 bytes each) is broadcast.
-LISTED = 500_000
 
 MULTIPLY = 0x9E3779B97F4A7C15
 
@@ -280,9 +278,10 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     often = points.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     hot = stage(often.where(F.col("n") > HOT), "suffix-hot")
     facts = hot.agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")).head()
-    listed = F.broadcast(hot.select("g")) if facts["k"] <= LISTED else hot.select("g")
+    listed = small(hot.select("g"))
     # a frequent k-gram never meets in one task: its points are taken out before the others are joined
-    some = points.join(listed, "g", "left_anti").join(often.select("g"), "g").withColumn("hot", F.lit(False)) if facts["k"] else points.join(often.select("g"), "g").withColumn("hot", F.lit(False))
+    rare = points.join(listed, "g", "left_anti") if facts["k"] else points
+    some = rare.join(often.select("g"), "g").withColumn("hot", F.lit(False))
     if facts["k"]:
         some = some.unionByName(points.join(listed, "g").withColumn("hot", F.lit(True)))
     at = some.groupBy("id", "h").agg(F.collect_list(F.struct("pos", "g", "lo", "hi", "hot")).alias("at"))

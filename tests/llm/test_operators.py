@@ -453,13 +453,49 @@ def test_mixing_odd(odd, none):
     assert mixing.mix(none).count() == 0 and mixing.mixed_texts(none).count() == 0
 
 
-def test_mixing_shards_are_drawn(spark):
+def test_mixing_permutations_and_shards(spark):
     sources = mixing.targets(mixing.sized(docs(spark, [prose(random.Random(i), 100) for i in range(200)])))
     slots = mixing.draw(sources)
     counts = mixing.shard_counts(slots)
     assert counts.agg(F.sum("slots")).head()[0] == sources.agg(F.sum("slots")).head()[0]
-    per = slots.groupBy("s", "turn").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("block_no").alias("d"))
-    assert per.where("n <> d").count() == 0  # a permutation each time round
+    # bijections for any number of blocks
+    rows = [(s, n, n, "x", 7) for s, n in enumerate([1, 2, 3, 4, 5, 7, 8, 9, 63, 64, 65, 1000, 4097])]
+    made = spark.createDataFrame([(s, src, 3 * n, n, k) for s, n, _, src, k in rows], "s int, source string, slots long, blocks long, shards long")
+    got = defaultdict(list)
+    for r in mixing.draw(made).orderBy("s", "slot").collect():
+        got[r["s"], r["turn"]].append(r["block_no"])
+    for s, n, *_ in rows:
+        for turn in range(3):
+            assert sorted(got[s, turn]) == list(range(n))
+    long = got[12, 0]
+    assert got[12, 1] != long and len({b - a for a, b in zip(long, long[1:])}) > 1000  # no fixed stride
+    per = mixing.draw(made).where("s = 12").groupBy("shard").count().collect()
+    assert len(per) == 7 and all(abs(r["count"] - 3 * 4097 / 7) < 200 for r in per)
+
+
+def test_mixing_blocks_by_shard(spark):
+    rnd = random.Random(29)
+    texts = [prose(rnd, rnd.randint(0, 300)) for _ in range(60)]
+    df = docs(spark, texts).unionByName(docs(spark, texts[:5]))  # repeated rows
+    took = mixing.mix(df)
+    blocks = mixing.mixed_blocks(df).collect()
+    assert sum(len(WORDS.findall(r["text"])) for r in blocks) == took.agg(F.sum("taken")).head()[0]
+    of = {i: set(WORDS.findall(t)) for i, t in enumerate(texts)}
+    stream = defaultdict(list)
+    for i, t in enumerate(texts):
+        stream[f"s{i % 3}"] += WORDS.findall(t) * (2 if i < 5 else 1)
+    size = max(len(WORDS.findall(r["text"])) for r in blocks)
+    for r in blocks:
+        assert WORDS.findall(r["text"]) == stream[r["source"]][r["block_no"] * size : (r["block_no"] + 1) * size]
+    assert of and sum(len(WORDS.findall(r["text"])) for r in mixing.mixed_texts(df).collect()) == took.agg(F.sum("taken")).head()[0]
+
+
+def test_numbered_copies(spark):
+    df = spark.createDataFrame([("a",)] * 50 + [("b",)] * 3 + [(None,)] * 2, "k string").repartition(5)
+    got = defaultdict(list)
+    for r in mixing.numbered(df, "k", "c").where("k IS NOT NULL").collect():
+        got[r["k"]].append(r["c"])
+    assert {k: sorted(v) for k, v in got.items()} == {"a": list(range(1, 51)), "b": [1, 2, 3]}
 
 
 # 8
