@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ecotone.llm.shared import GAPS, literal_rows, range_bucket
+from ecotone.llm.shared import GAPS, range_bucket, small, stage
 
 K = 128
 WIDTH = 5
@@ -86,13 +86,12 @@ def with_next(df: DataFrame, key: str, payload: list[str], rows: int = 1024) ->
     payload is enough and no task sees more than a bucket.
     """
     dealt, _ = range_bucket(df.select(key, *payload), key, rows)
-    heads = sorted(((r["_bucket"], r[key]) for r in dealt.groupBy("_bucket").agg(F.max(key).alias(key)).collect()), key=lambda r: -r[0])
-    if not heads:
-        return df.select(key, *payload, *(F.col(c).alias(f"next_{c}") for c in payload))
-    kind = df.schema[key].dataType.simpleString()
-    serves = [(heads[i - 1][0], h) for i, (_, h) in enumerate(heads)]
-    small = literal_rows(df.sparkSession, [{"_to": a, "_head": b} for a, b in serves], f"_to int, _head {kind}")  # a row for each bucket, at most 8192
-    copies = dealt.drop("_bucket").join(F.broadcast(small), F.col(key).eqNullSafe(F.col("_head")))
+    # a row for each bucket: the head of one goes to the end of that before it, the first's to the last's
+    heads = stage(dealt.groupBy("_bucket").agg(F.max(key).alias("_head")), "next-heads")
+    down = Window.orderBy(F.col("_bucket").desc())
+    ends = Window.orderBy("_bucket")
+    serves = heads.select(F.coalesce(F.lag("_bucket").over(down), F.first("_bucket").over(ends.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_to"), "_head")
+    copies = dealt.drop("_bucket").join(small(serves), F.col(key).eqNullSafe(F.col("_head")))
     copies = copies.select(key, *payload, F.col("_to").alias("_bucket"), F.lit(1).alias("_copy"))
     both = dealt.withColumn("_copy", F.lit(0)).unionByName(copies)
     order = Window.partitionBy("_bucket").orderBy("_copy", F.col(key).desc_nulls_last(), *(F.col(c) for c in payload))

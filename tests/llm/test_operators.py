@@ -642,6 +642,29 @@ def test_fingerprints_against_brute_force(spark, monkeypatch):
     assert got[len(texts) - 1]["fingerprint"] == got[len(texts) - 2]["fingerprint"] and got[len(texts) - 1]["near_next"] == 1.0
 
 
+def test_sketch_is_the_least_hashes(spark):
+    """Against the same hashes one row at a time: the fingerprint is the 128 least, the likeness a count over both."""
+    rnd = random.Random(37)
+    texts = ["", "one", "a b c d", *(prose(rnd, n) for n in (5, 6, 100, 132, 133, 700, 700))]
+    df = docs(spark, texts)
+    rows = spark.createDataFrame([(i, k, w) for i, t in enumerate(texts) for k, w in enumerate(WORDS.findall(t))], "doc_id long, k int, w string").withColumn("x", F.xxhash64("w"))
+    near = rows
+    for j in range(1, 5):
+        near = near.join(rows.select("doc_id", (F.col("k") - j).alias("k"), F.col("x").alias(f"x{j}")), ["doc_id", "k"])
+    want = defaultdict(set)
+    for r in near.select("doc_id", F.shiftrightunsigned(F.xxhash64("x", "x1", "x2", "x3", "x4"), 16).alias("s")).collect():
+        want[r["doc_id"]].add(r["s"])
+    for r in rows.groupBy("doc_id").agg(F.count("w").alias("n"), F.sort_array(F.collect_list(F.struct("k", "x"))).alias("a")).where("n < 5").select("doc_id", F.shiftrightunsigned(F.xxhash64(F.transform("a", lambda v: v["x"])), 16).alias("s")).collect():
+        want[r["doc_id"]].add(r["s"])
+    sketch = {i: sorted(want[i])[: fingerprint.K] for i in range(len(texts))}
+    got = {r["doc_id"]: r for r in fingerprint.near_edited(df).collect()}
+    for i in range(len(texts)):
+        assert got[i]["fingerprint"] == "".join(f"{x:012x}" for x in sketch[i])
+        a, b = sketch[i], sketch[i - 1 if i else len(texts) - 1]
+        least = sorted({*a, *b})[: fingerprint.K]
+        assert got[i]["near_next"] == (len({*least} & {*a} & {*b}) / len(least) if least else 1.0)
+
+
 def test_sketches_merge(spark):
     rnd = random.Random(19)
     sets = [[rnd.getrandbits(48) for _ in range(n)] for n in (0, 5, 500, 2000)]
