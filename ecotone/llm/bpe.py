@@ -2,8 +2,8 @@
 
 The token positions of new words are rows that join the merge table; every step
 contracts each word's leftmost pair of least rank, until no pair is in the
-table.  The recursion is keyed by position, so it holds each position once.
-Decoding joins the ids with the vocabulary and aggregates their bytes in order;
+table.  A word's last step is its result; a lot's words are taken so that the
+rows of all its steps are bounded.  Decoding joins the ids with the vocabulary and aggregates their bytes in order;
 this goes for words that are a token, too.  Words repeat, so a worker keeps
 what it has computed in a bounded cache.  A step visits every position of a
 word that is still open, so runs of LONG bytes and more without a boundary take
@@ -25,31 +25,33 @@ from pyspark.sql import functions as F
 from ecotone.llm.shared import worker_cache
 
 #: Entries in the younger half of a worker's cache; beyond this many it becomes the older half. Memory only, results do not depend on it.
-CACHE = 300_000
-#: Words that one recursive query takes.
-WORDS = 10_000
+CACHE = 500_000
+#: Words that one recursive query takes, and the sum of their squared lengths: twice the rows of all its steps at most.
+WORDS, ROWS = 10_000, 1_500_000
 #: Characters that are encoded at a time.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 #: Bytes from which a word is contracted by a heap.
 LONG = 512
 
 MERGE = """
-WITH RECURSIVE t(w, pos, tok, nxt) USING KEY (w, pos) AS (
-  SELECT w, pos, tok, nxt FROM init
-  UNION
-  (WITH active AS (SELECT DISTINCT w FROM t),
-   live AS (SELECT r.* FROM recurring.t r JOIN active USING (w) WHERE r.tok >= 0),
-   pairs AS (SELECT a.w, a.pos, b.pos AS gone, b.nxt, m.m FROM live a JOIN live b ON b.w = a.w AND b.pos = a.nxt JOIN merges m ON m.lr = ((a.tok << 20) | b.tok)),
-   least AS (SELECT w, min((m::BIGINT << 32) | pos) AS best FROM pairs GROUP BY w),
-   hit AS (SELECT pairs.* FROM pairs JOIN least ON least.w = pairs.w AND least.best = (pairs.m::BIGINT << 32) | pairs.pos)
-   SELECT w, pos, m, nxt FROM hit UNION ALL SELECT w, gone, -1, -1 FROM hit))
-SELECT w, pos, tok FROM t WHERE tok >= 0
+WITH RECURSIVE t(step, w, pos, tok, nxt, ntok) AS (
+  SELECT 0, w, pos, tok, nxt, ntok FROM init
+  UNION ALL
+  (WITH pairs AS (SELECT w, pos, nxt, m FROM t JOIN merges ON lr = ((tok << 20) | ntok)),
+   least AS (SELECT w, min((m::BIGINT << 32) | pos) AS best, arg_min(nxt, (m::BIGINT << 32) | pos) AS gone FROM pairs GROUP BY w),
+   hit AS (SELECT l.w, best >> 32 AS m, best & 4294967295 AS p, gone, g.nxt AS nxt2, g.ntok AS ntok2 FROM least l JOIN t g ON g.w = l.w AND g.pos = l.gone)
+   SELECT step + 1, t.w, t.pos, CASE WHEN pos = p THEN m ELSE tok END, CASE WHEN pos = p THEN nxt2 ELSE nxt END, CASE WHEN pos = p THEN ntok2 WHEN nxt = p THEN m ELSE ntok END
+   FROM t JOIN hit ON t.w = hit.w WHERE pos <> gone))
+SELECT t.w, pos, tok FROM t JOIN (SELECT w, max(step) AS step FROM t GROUP BY w) z ON z.w = t.w AND z.step = t.step
 """
 
-#: Around it: a word's ids as text, each after a space, and their bytes (as Latin-1), aggregated in order.
+#: Parts ids from bytes in a cached value: no text in UTF-8 has this byte.
+PART = b"\xff"
+
+#: Around it: a word's ids as text, each after a space, and their bytes, in turn and with PART between, as Latin-1 and aggregated in order.
 AND_BACK = f"""
 WITH got AS ({MERGE} UNION ALL SELECT w, pos, tok FROM whole)
-SELECT w, ' ' || string_agg(tok, ' ' ORDER BY pos) AS ids, string_agg(s, '' ORDER BY pos) AS s FROM got JOIN vocab ON id = tok GROUP BY w
+SELECT w, string_agg(v, chr(255) ORDER BY pos) AS v FROM got JOIN vocab ON id = tok GROUP BY w
 """
 
 DECODE = """
@@ -70,7 +72,7 @@ class Codec:
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.gap = re.compile(r"(?<=\s) ")
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         left, to = [], []
         for token, rank in ranks.items():
             for i in range(1, len(token)):
@@ -81,7 +83,7 @@ class Codec:
         self.con.register("_m", pa.table({"lr": pa.array(left, pa.int64()), "m": pa.array(to, pa.int64())}))
         self.con.execute("CREATE TABLE merges AS SELECT * FROM _m")
         self.con.register("_v", pa.table({"id": pa.array(ranks.values(), pa.int32()), "s": [t.decode("latin-1") for t in ranks]}))
-        self.con.execute("CREATE TABLE vocab AS SELECT * FROM _v")
+        self.con.execute("CREATE TABLE vocab AS SELECT id, s, ' ' || id || chr(255) || s AS v FROM _v")
         self.con.unregister("_m")
         self.con.unregister("_v")
         self.pairs = dict(zip(left, to, strict=True))
@@ -89,7 +91,7 @@ class Codec:
         self.older: dict = {}
 
     def _merge(self, words: list) -> list:
-        """(ids as text, bytes of the ids) of each byte string, by the recursive query; ids of tokens and of long words are known before."""
+        """The cached value of each byte string (ids as text, each after a space, PART, bytes of the ids), by the recursive query; ids of tokens and of long words are known before."""
         import numpy as np
         import pyarrow as pa
 
@@ -106,12 +108,14 @@ class Codec:
         lens = np.array([len(words[i]) for i in part], dtype=np.int64)
         flat = np.frombuffer(b"".join([words[i] for i in part]), dtype=np.uint8)
         at = np.arange(len(flat), dtype=np.int64) - np.repeat(np.cumsum(lens) - lens, lens)
-        after = at + 1
-        after[np.cumsum(lens) - 1] = -1
-        self.con.register("init", pa.table({"w": np.repeat(np.array(part, dtype=np.int64), lens), "pos": at, "tok": self.byte[flat], "nxt": after}))
+        tok, after, last = self.byte[flat], at + 1, np.cumsum(lens) - 1
+        beside = np.append(tok[1:], -1)[: len(tok)]
+        after[last] = beside[last] = -1
+        self.con.register("init", pa.table({"w": np.repeat(np.array(part, dtype=np.int64), lens), "pos": at, "tok": tok, "nxt": after, "ntok": beside}))
         self.con.register("whole", pa.table(list(zip(*whole, strict=True)) and [pa.array(c, pa.int64()) for c in zip(*whole, strict=True)] or [pa.array([], pa.int64())] * 3, ["w", "pos", "tok"]))
-        for w, ids, s in self.con.execute(AND_BACK).fetchall():
-            out[w] = (ids, s.encode("latin-1"))
+        for w, v in self.con.execute(AND_BACK).fetchall():
+            got = v.encode("latin-1").split(PART)
+            out[w] = b"".join(got[::2]) + PART + b"".join(got[1::2])
         self.con.unregister("init")
         self.con.unregister("whole")
         return out
@@ -151,21 +155,25 @@ class Codec:
         return out
 
     def _learn(self, units: set, words: set) -> None:
-        """Put the new units and words into the cache: (ids as text, each after a space; decoded bytes).
+        """Put the values of new units and words into the cache.
 
         A unit's key is its text without the space before it, which holds no
         space; a word's key is the word after a space.
         """
         known, older, find = self.known, self.older, self.pattern.findall
-        found, need, value = {}, dict.fromkeys(words), {}
+        ones, many, need = {}, {}, set(words)
         for x in units:
             if (got := older.get(x)) is not None:
                 known[x] = got
+            elif len(f := find(" " + x)) == 1:
+                ones[f[0]] = x
             else:
-                f = found[x] = find(" " + x)
-                need.update(dict.fromkeys(f))
-        new = []
+                many[x] = f
+                need.update(f)
+        value, new = {}, list(ones)
         for w in need:
+            if w in ones:
+                continue
             got = known.get(" " + w) or older.get(" " + w)
             if got is None and w[0] == " " and len(w) > 1 and " " not in w[1:] and (got := known.get(w[1:]) or older.get(w[1:])) is not None and find(w) != [w]:
                 got = None
@@ -174,17 +182,28 @@ class Codec:
             else:
                 value[w] = got
         new.sort(key=len)  # the recursion of a lot goes on until its longest word is done
-        for k in range(0, len(new), WORDS):
-            part = new[k : k + WORDS]
-            value.update(zip(part, self._merge([w.encode("utf-8", "surrogatepass") for w in part]), strict=True))
+        part, raw, rows = [], [], 0
+        for w in new:
+            b = w.encode("utf-8", "surrogatepass")
+            if part and (len(part) == WORDS or rows + len(b) ** 2 > ROWS):
+                value.update(zip(part, self._merge(raw), strict=True))
+                part, raw, rows = [], [], 0
+            part.append(w)
+            raw.append(b)
+            rows += len(b) ** 2 if len(b) < LONG else 0
+        if part:
+            value.update(zip(part, self._merge(raw), strict=True))
+        for w, x in ones.items():
+            known[x] = value[w]
         for w in need:
             if w in words or w[0] != " ":
                 known[" " + w] = value[w]
-        for x, f in found.items():
-            known[x] = value[f[0]] if len(f) == 1 else ("".join([value[w][0] for w in f]), b"".join([value[w][1] for w in f]))
+        for x, f in many.items():
+            got = PART.join([value[w] for w in f]).split(PART)
+            known[x] = b"".join(got[::2]) + PART + b"".join(got[1::2])
 
     def encode(self, texts: list) -> list:
-        """For each text its ids as text, each after a space, and their decoded bytes.
+        """For each text its ids as text, each after a space, and their decoded bytes, both as bytes.
 
         A boundary between two matches of the pattern lies before each space
         whose predecessor is no white space, so the text between such spaces is
@@ -206,12 +225,11 @@ class Codec:
                 units.update(keys)
                 keys[:0] = first
             parts.append(keys)
-        units.difference_update(known)
-        self._learn(units, words)
+        self._learn(units.difference(known), words)
         out = []
         for keys in parts:
-            got = [known[x] for x in keys]
-            out.append(("".join([g[0] for g in got]), b"".join([g[1] for g in got])))
+            got = PART.join([known[x] for x in keys]).split(PART)
+            out.append((b"".join(got[::2]), b"".join(got[1::2])))
         return out
 
 
@@ -297,8 +315,8 @@ def round_trip(df: DataFrame, ranks: dict, pattern: str, key: str = "doc_id", te
             for start, texts in _chunks(batch.column(1)):
                 n, ids, back = [], [], []
                 for got, decoded in codec.encode(texts):
-                    n.append(got.count(" "))
-                    ids.append(hashlib.sha256(got[1:].encode()).hexdigest())
+                    n.append(got.count(b" "))
+                    ids.append(hashlib.sha256(got[1:]).hexdigest())
                     back.append(hashlib.sha256(decoded).hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), pa.array(n, pa.int64()), pa.array(ids), pa.array(back)], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
 

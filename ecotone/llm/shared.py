@@ -155,8 +155,19 @@ def worker_cache(name: str) -> dict:
     import sys
 
     kept = sys.__dict__.setdefault("_ecotone_kept", {})
-    for other in [k for k in kept if k != name]:
-        del kept[other]
+    if others := [k for k in kept if k != name]:
+        import ctypes
+
+        import pyarrow as pa
+
+        for other in others:
+            del kept[other]
+        # what the others freed goes back to the machine, not to this process's own reserve
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # another C library
+            pass
     return kept.setdefault(name, {})
 
 

@@ -30,7 +30,7 @@ LENGTH = 50
 GRAM = 10
 LEFT = LENGTH - GRAM
 #: Characters hashed at a time.
-CHUNK = 1_000_000
+CHUNK = 500_000
 #: Sample points of a k-gram from which it is sorted by range, and rows of such a range.
 HOT = 20_000
 RANGE_ROWS = 20_000
@@ -152,13 +152,13 @@ def suffixes(docs: DataFrame) -> DataFrame:
 
         names = ["g", "r", "id", "h", "pos", "hi", "w", "hot"]
         for batch in batches:
-            at = batch.column(3).to_pylist()
             for start, texts in _chunks(batch.column(2)):
+                at = batch.column(3).slice(start, len(texts)).to_pylist()
                 words, counts = word_hashes(texts)
                 short, hashes = words.astype(np.uint8).tobytes(), window_hashes(words).tobytes()
                 out, first = [], 0
                 for k, n in enumerate(counts.tolist()):
-                    for p in at[start + k]:
+                    for p in at[k]:
                         pos, hi = p["pos"], p["hi"]
                         here = first + pos
                         out.append((p["g"], short[here : min(here + LENGTH, first + n)], start + k, pos, hi, hashes[8 * (here - hi) : 8 * (here - p["lo"] + 1)], p["hot"]))

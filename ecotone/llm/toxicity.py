@@ -101,16 +101,16 @@ def chosen(buckets, rows, y):
     # what two signs that add up would give
     odds = lambda q: np.log(q / (1 - q))
     alone = odds((pos[often] + p) / (n[often] + 1))
-    cuts = np.searchsorted(r, range(0, many + 1000, 1000))
-    for start in range(0, len(often), 512):
-        both, bad = (np.zeros((len(often), min(512, len(often) - start)), dtype=np.float32) for _ in range(2))
+    cuts = np.searchsorted(r, range(0, many + 500, 500))
+    for start in range(0, len(often), 256):
+        both, bad = (np.zeros((len(often), min(256, len(often) - start)), dtype=np.float32) for _ in range(2))
         for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            x = np.zeros((min(1000, many - 1000 * k), len(often)), dtype=np.float32)
-            x[r[a:b] - 1000 * k, c[a:b]] = 1
-            both += x.T @ x[:, start : start + 512]
-            x = x[y[1000 * k : 1000 * k + len(x)] > 0]
-            bad += x.T @ x[:, start : start + 512]
-        e = 1 / (1 + np.exp(-(alone[:, None] + alone[None, start : start + 512] - odds(p))))
+            x = np.zeros((min(500, many - 500 * k), len(often)), dtype=np.float32)
+            x[r[a:b] - 500 * k, c[a:b]] = 1
+            both += x.T @ x[:, start : start + 256]
+            x = x[y[500 * k : 500 * k + len(x)] > 0]
+            bad += x.T @ x[:, start : start + 256]
+        e = 1 / (1 + np.exp(-(alone[:, None] + alone[None, start : start + 256] - odds(p))))
         chi = (bad - both * e) ** 2 / np.maximum(both * e * (1 - e), 1e-2)
         chi[both < PAIR_ROWS] = 0
         own = np.arange(both.shape[1])
@@ -119,16 +119,22 @@ def chosen(buckets, rows, y):
     return np.flatnonzero(out)
 
 
-def fit(rows: list, rounds: int = 60, rate: float = 0.05, decay: float = 1e-4, lot: int = 256) -> Machine:
-    """Adagrad on the log loss over (label, buckets) rows, in lots whose order a seed fixes; sparse throughout."""
+def fit(rows: list, **how) -> Machine:
+    """Learn from (label, buckets) rows."""
+    import numpy as np
+
+    lens = np.array([len(r[1]) for r in rows], dtype=np.int64)
+    return fit_arrays(np.array([r[0] for r in rows], dtype=np.float64), lens, np.array([b for r in rows for b in r[1]], dtype=np.int64), **how)
+
+
+def fit_arrays(y, lens, buckets, rounds: int = 60, rate: float = 0.05, decay: float = 1e-4, lot: int = 256) -> Machine:
+    """Adagrad on the log loss over labels and the rows' buckets one after the other, in lots whose order a seed fixes; sparse throughout."""
     import numpy as np
 
-    y = np.array([r[0] for r in rows], dtype=np.float64)
     if not len(y) or y.min() == y.max():
         rate0 = (y.sum() + 0.01) / (len(y) + 1) if len(y) else 0.0
         return Machine([], np.log(rate0 / (1 - rate0)) if len(y) else -np.inf, np.zeros(0), np.zeros((0, FACTORS)))
-    lens = np.array([len(r[1]) for r in rows])
-    every, buckets = np.unique(np.concatenate([np.asarray(r[1], dtype=np.int64) for r in rows]), return_inverse=True)
+    every, buckets = np.unique(buckets, return_inverse=True)
     of = np.repeat(np.arange(len(y)), lens)
     keep = chosen(buckets, of, y) if len(every) else every
     at = np.full(len(every), -1)
@@ -167,11 +173,15 @@ def fit(rows: list, rounds: int = 60, rate: float = 0.05, decay: float = 1e-4, l
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", bound: int = BOUND) -> Machine:
     """Learn from the labelled rows that are not held out: at most `bound`, which alone come to the driver, as bucket lists. Rows with equal id and text count once."""
+    import pyarrow.compute as pc
+
     marked = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_id"), F.col(label).cast("int").alias("y"))
     marked = marked.where(~held_out("_id")).groupBy("_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("_id"), "_id").limit(bound)
     rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("text")).join(F.broadcast(marked), "_id")
     rows = _hashed(rows.select("y", F.xxhash64("_id").alias("o"), F.xxhash64("text").alias("h"), "text")).dropDuplicates(["o", "h"])
-    return fit([(r["y"], r["b"]) for r in rows.orderBy("o", "h").limit(bound).select("y", "b").collect()])
+    got = rows.orderBy("o", "h").limit(bound).select("y", "b").toArrow().combine_chunks()
+    lists = got.column("b").combine_chunks()
+    return fit_arrays(got.column("y").to_numpy().astype("float64"), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype("int64"), lists.flatten().to_numpy().astype("int64"))
 
 
 def score(df: DataFrame, machine: Machine, text: str = "text", into: str = "score") -> DataFrame:
