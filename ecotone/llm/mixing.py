@@ -93,7 +93,10 @@ def shard(xor: str, right: str) -> list:
 
 def draw(sources: DataFrame) -> DataFrame:
     """(s, slot, shard, turn, block_no): every slot of the mix."""
-    chunks = sources.where("slots > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(slots - 1) div {CHUNK}"))).alias("c")).repartition("s", "c")
+    chunks = sources.where("slots > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(slots - 1) div {CHUNK}"))).alias("c"))
+    # the rows are few and small until they are exploded, so the number of tasks is given
+    tasks = (sources.agg(F.sum("slots")).head()[0] or 0) // (8 * CHUNK) + 1
+    chunks = chunks.repartition(tasks, "s", "c")
     slots = chunks.select("s", "blocks", "shards", F.explode(F.sequence(F.col("c") * CHUNK, F.least("slots", (F.col("c") + 1) * CHUNK) - 1)).alias("slot"))
     slots = slots.withColumn("s", F.col("s").cast("long")).withColumns({"turn": F.expr("slot div blocks"), "x": F.col("slot") % F.col("blocks"), "y": F.col("slot"), "bits": F.length(F.bin("blocks")) - 1})
     # each step is bound to a lambda's variable: as plain expressions they would multiply out

@@ -205,9 +205,9 @@ def stream_groups(batches, keys):
         yield held
 
 
-def forest(a, b):
-    """Edges of a spanning forest over the links (a[i], b[i]): what components need, in linear size."""
-    parent: dict = {}
+def forest(a, b, parent: dict | None = None):
+    """Edges of a spanning forest over the links (a[i], b[i]): what components need, in linear size. With `parent`, over those and all links given with it before."""
+    parent = {} if parent is None else parent
 
     def top(x):
         while (p := parent.get(x, x)) != x:
@@ -221,3 +221,28 @@ def forest(a, b):
             parent[max(p, q)] = min(p, q)
             out.append((x, y))
     return out
+
+
+def cell_forest(a, b, same: bool, near, ids, step: int = 64) -> list:
+    """The links that a cell of blocks a and b (row numbers) adds: near(x, y) gives the linked pairs of two lists of rows as two arrays, ids the rows' names.
+
+    Links within a block are the business of the block's own cell (same): in
+    any other cell they only tell which links across are new, so a large group
+    of copies gives one link a cell, not one a row.
+    """
+    parent: dict = {}
+
+    def links(p, q, own):
+        out = []
+        for s in range(0, len(p), step):
+            x, y = near(p[s : s + step], q)
+            if own:
+                x, y = x[x < y], y[x < y]
+            out += forest(ids[x].tolist(), ids[y].tolist(), parent)
+        return out
+
+    if same:
+        return links(a, a, True)
+    links(a, a, True)
+    links(b, b, True)
+    return links(a, b, False)

@@ -28,7 +28,7 @@ from math import comb
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ecotone.llm.shared import WORD, block_cells, components, forest, once, stage, stream_groups, worker_cache
+from ecotone.llm.shared import WORD, block_cells, cell_forest, components, once, stage, stream_groups, worker_cache
 
 SEED = 42
 #: Bytes A-Z lower-cased.
@@ -206,18 +206,13 @@ def links(fps: DataFrame, distance: int = 2) -> DataFrame:
         for group in stream_groups(batches, ["p", "val", "_i", "_j"]):
             fp, k = (group.column(c).to_numpy() for c in ("fp", "_k"))
             i, j = group.column("_i")[0].as_py(), group.column("_j")[0].as_py()
-            a, b = np.flatnonzero(k == i), np.flatnonzero(k == j)
-            us, vs = [], []
-            for s in range(0, len(a), 256):
-                near = np.bitwise_count((fp[a[s : s + 256], None] ^ fp[b][None, :]).view(np.uint64)) <= distance
-                x, y = np.nonzero(near)
-                x, y = a[x + s], b[y]
-                if i == j:
-                    x, y = x[x < y], y[x < y]
-                for u, v in forest(fp[x].tolist(), fp[y].tolist()):
-                    us.append(u)
-                    vs.append(v)
-            if us:
+            def near(x, y, fp=fp):
+                at, to = np.nonzero(np.bitwise_count((fp[x, None] ^ fp[y][None, :]).view(np.uint64)) <= distance)
+                return x[at], y[to]
+
+            got = cell_forest(np.flatnonzero(k == i), np.flatnonzero(k == j), i == j, near, fp, 256)
+            if got:
+                us, vs = zip(*got, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
     return cells.mapInArrow(run, "u long, v long")
@@ -301,19 +296,13 @@ def candidates(reps: DataFrame) -> DataFrame:
             fp, k = (group.column(c).to_numpy() for c in ("fp", "_k"))
             sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), dtype=np.uint8).reshape(len(fp), -1)
             i, j = group.column("_i")[0].as_py(), group.column("_j")[0].as_py()
-            a, b = np.flatnonzero(k == i), np.flatnonzero(k == j)
-            us, vs = [], []
-            for s in range(0, len(a), 64):
-                x, y = np.nonzero((sig[a[s : s + 64], None] == sig[b][None, :]).sum(axis=2) >= LEAST)
-                x, y = a[x + s], b[y]
-                if i == j:
-                    x, y = x[x < y], y[x < y]
-                us += fp[x].tolist()
-                vs += fp[y].tolist()
-                if len(us) > 65536:
-                    us, vs = map(list, zip(*forest(us, vs), strict=True))
-            if us:
-                us, vs = zip(*forest(us, vs), strict=True)
+            def near(x, y, sig=sig):
+                at, to = np.nonzero((sig[x, None] == sig[y][None, :]).sum(axis=2) >= LEAST)
+                return x[at], y[to]
+
+            got = cell_forest(np.flatnonzero(k == i), np.flatnonzero(k == j), i == j, near, fp)
+            if got:
+                us, vs = zip(*got, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
     return cells.mapInArrow(run, "u long, v long")
@@ -333,20 +322,29 @@ def verified(sets: DataFrame, jaccard: float) -> DataFrame:
             fp, k = (group.column(c).to_numpy() for c in ("fp", "_k"))
             own = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in group.column("shingles")]
             i, j = group.column("_i")[0].as_py(), group.column("_j")[0].as_py()
-            a, b = np.flatnonzero(k == i).tolist(), np.flatnonzero(k == j).tolist()
             parent = np.arange(len(fp))
-            us, vs = [], []
-            for x in a:
-                for y in b:
-                    n, m = len(own[x]), len(own[y])
-                    if (i == j and y <= x) or parent[x] == parent[y] or min(n, m) < jaccard * max(n, m) - 1e-9:
-                        continue
-                    both = len(np.intersect1d(own[x], own[y], assume_unique=True))
-                    if both >= jaccard * (n + m - both) - 1e-9:
-                        parent[parent == parent[y]] = parent[x]
-                        us.append(int(fp[x]))
-                        vs.append(int(fp[y]))
-            if us:
+
+            def joined(p, q, inside, own=own, parent=parent, fp=fp):
+                """Links that connect rows of p and q which were not connected."""
+                out = []
+                for x in p:
+                    for y in q[parent[q] != parent[x]].tolist():
+                        n, m = len(own[x]), len(own[y])
+                        if (inside and y <= x) or parent[x] == parent[y] or min(n, m) < jaccard * max(n, m) - 1e-9:
+                            continue
+                        both = len(np.intersect1d(own[x], own[y], assume_unique=True))
+                        if both >= jaccard * (n + m - both) - 1e-9:
+                            parent[parent == parent[y]] = parent[x]
+                            out.append((int(fp[x]), int(fp[y])))
+                return out
+
+            a, b = np.flatnonzero(k == i), np.flatnonzero(k == j)
+            got = joined(a, a, True)
+            if i != j:  # what is connected inside either block its own cell tells
+                joined(b, b, True)
+                got = joined(a, b, False)
+            if got:
+                us, vs = zip(*got, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
     return cells.mapInArrow(run, "u long, v long")
