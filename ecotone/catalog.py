@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ecotone.functions import masks, scalars, tests
 from ecotone.functions.grid import CLIMATE, FINE, tile_id
 from ecotone.operators import compare, components, products, regrid, stencil, thresholds, vector
-from ecotone.plans import control
+from ecotone.plans import control, validation
 
 WIDTH = 100
 #: The lattice's first row on the fine grid: the equator.
@@ -549,14 +549,14 @@ def registry_pivot(spark, sf_dir):
     return control.by_product(control.normalized(*_registry(spark, sf_dir)), F.col("task_id"))
 
 
-GUARD = """m AS (SELECT CAST(c_custkey AS VARCHAR) AS mountain_id, unnest(['treeline30m', 'treeline1km', 'qa30m']) AS product FROM customer WHERE c_custkey < 500),
+GUARD = """m AS (SELECT CAST(c_custkey AS VARCHAR) AS mountain_id, unnest(['treeline30m', 'treeline1km', 'qa30m']) AS product FROM customer),
   plan AS (SELECT mountain_id, product, concat('root/', product, '/', product, '_', mountain_id) AS destination, concat(product, '_', mountain_id) AS description, 'hash-a' AS configuration_hash, 'PLANNED' AS state FROM m),
   asset AS (SELECT destination, CASE WHEN CAST(mountain_id AS BIGINT) % 10 = 0 THEN 'hash-b' WHEN CAST(mountain_id AS BIGINT) % 10 = 5 THEN NULL ELSE 'hash-a' END AS asset_hash FROM plan WHERE CAST(mountain_id AS BIGINT) % 5 = 0 OR product = 'qa30m' AND CAST(mountain_id AS BIGINT) % 4 = 0),
   task AS (SELECT description, CASE WHEN CAST(mountain_id AS BIGINT) % 2 = 0 THEN 'RUNNING' ELSE 'COMPLETED' END AS task_state, concat('x', mountain_id) AS active_id FROM plan WHERE CAST(mountain_id AS BIGINT) % 3 = 0)"""
 
 
 def _guard(spark, sf_dir):
-    m = table(spark, sf_dir, "customer").where("c_custkey < 500").select(F.col("c_custkey").cast("string").alias("mountain_id"))
+    m = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("mountain_id"))
     plan = control.planned(m, "root", "hash-a")
     k = F.col("mountain_id").cast("long")
     assets = plan.where((k % 5 == 0) | ((F.col("product") == "qa30m") & (k % 4 == 0))).select("destination", F.when(k % 10 == 0, "hash-b").when(k % 10 == 5, None).otherwise("hash-a").alias("asset_hash"))
@@ -590,9 +590,9 @@ def task_recovery(spark, sf_dir):
     return control.recovered(own, seen).select("mountain_id", "product", "description", "task_id")
 
 
-INV = """inv AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'h3m' ELSE 'h5m' END AS product, CASE WHEN p_partkey % 97 = 0 THEN NULL ELSE concat('T', p_partkey // 2 % 300) END AS tile_id, CASE WHEN p_partkey % 41 = 0 THEN ['tree_2020', 'tree_2000'] ELSE ['tree_2000', 'tree_2020'] END AS bands, CASE WHEN p_partkey % 43 = 0 THEN 'TABLE' ELSE 'IMAGE' END AS type,
-  CASE WHEN p_partkey % 47 = 0 THEN 'none' ELSE CAST(p_size AS VARCHAR) END AS size, CASE WHEN p_partkey % 53 = 0 THEN 50 ELSE 500 END AS max_size, CASE WHEN p_partkey % 59 = 0 THEN 4 WHEN p_partkey % 2 = 0 THEN 3 ELSE 5 END AS threshold, CASE WHEN p_partkey % 61 = 0 THEN '' WHEN p_partkey % 113 = 0 THEN 'h2' ELSE 'h1' END AS hash, CASE WHEN p_partkey % 67 = 0 THEN 'FAILED' ELSE 'COMPLETED' END AS state FROM part WHERE p_partkey < 590),
-  named AS (SELECT * FROM inv WHERE tile_id IS NOT NULL), have AS (SELECT DISTINCT product, tile_id FROM named), expected AS (SELECT concat('T', unnest(range(0, 305))) AS tile_id)"""
+INV = """inv AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'h3m' ELSE 'h5m' END AS product, CASE WHEN p_partkey % 97 = 0 THEN NULL ELSE concat('T', p_partkey // 2 - CASE WHEN p_partkey % 89 = 0 THEN 1 ELSE 0 END) END AS tile_id, CASE WHEN p_partkey % 41 = 0 THEN ['tree_2020', 'tree_2000'] ELSE ['tree_2000', 'tree_2020'] END AS bands, CASE WHEN p_partkey % 43 = 0 THEN 'TABLE' ELSE 'IMAGE' END AS type,
+  CASE WHEN p_partkey % 47 = 0 THEN 'none' ELSE CAST(p_size AS VARCHAR) END AS size, CASE WHEN p_partkey % 53 = 0 THEN 50 ELSE 500 END AS max_size, CASE WHEN p_partkey % 59 = 0 THEN 4 WHEN p_partkey % 2 = 0 THEN 3 ELSE 5 END AS threshold, CASE WHEN p_partkey % 61 = 0 THEN '' WHEN p_partkey % 113 = 0 THEN 'h2' ELSE 'h1' END AS hash, CASE WHEN p_partkey % 67 = 0 THEN 'FAILED' ELSE 'COMPLETED' END AS state FROM part),
+  named AS (SELECT * FROM inv WHERE tile_id IS NOT NULL), have AS (SELECT DISTINCT product, tile_id FROM named), expected AS (SELECT DISTINCT concat('T', p_partkey // 2 + CASE WHEN p_partkey % 101 = 0 THEN 1000000000 ELSE 0 END) AS tile_id FROM part)"""
 
 
 @query(f"""WITH {INV} SELECT product, tile_id, 'invalid bands' AS error FROM named WHERE bands[1] <> 'tree_2000' UNION ALL SELECT product, tile_id, 'invalid type' FROM named WHERE type <> 'IMAGE' UNION ALL SELECT product, tile_id, 'empty asset' FROM named WHERE coalesce(TRY_CAST(size AS BIGINT), 0) <= 0
@@ -603,12 +603,101 @@ INV = """inv AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'h3m' ELSE 'h5m' END AS
 def inventory_errors(spark, sf_dir):
     k = F.col("p_partkey")
     bands = F.when(k % 41 == 0, F.array(F.lit("tree_2020"), F.lit("tree_2000"))).otherwise(F.array(F.lit("tree_2000"), F.lit("tree_2020")))
-    inv = table(spark, sf_dir, "part").where("p_partkey < 590").select(
-        F.when(k % 2 == 0, "h3m").otherwise("h5m").alias("product"), F.when(k % 97 != 0, F.concat(F.lit("T"), F.floor(k / 2) % 300)).alias("tile_id"), bands.alias("bands"), F.when(k % 43 == 0, "TABLE").otherwise("IMAGE").alias("type"),
+    inv = table(spark, sf_dir, "part").select(
+        F.when(k % 2 == 0, "h3m").otherwise("h5m").alias("product"), F.when(k % 97 != 0, F.concat(F.lit("T"), F.expr("p_partkey div 2") - F.when(k % 89 == 0, 1).otherwise(0))).alias("tile_id"), bands.alias("bands"), F.when(k % 43 == 0, "TABLE").otherwise("IMAGE").alias("type"),
         F.when(k % 47 == 0, "none").otherwise(F.col("p_size").cast("string")).alias("sizeBytes"), F.when(k % 53 == 0, 50).otherwise(500).alias("mmu_max_size"), F.when(k % 59 == 0, 4).when(k % 2 == 0, 3).otherwise(5).alias("canopy_threshold_m"),
         F.when(k % 61 == 0, "").when(k % 113 == 0, "h2").otherwise("h1").alias("configuration_hash"), F.lit("grid").alias("grid"), F.when(k % 67 == 0, "FAILED").otherwise("COMPLETED").alias("task_state"),
     )
-    return control.inventory_errors(inv, spark.range(305).select(F.concat(F.lit("T"), "id").alias("tile_id")))
+    return control.inventory_errors(inv, table(spark, sf_dir, "part").select(F.concat(F.lit("T"), F.expr("p_partkey div 2") + F.when(k % 101 == 0, 1_000_000_000).otherwise(0)).alias("tile_id")).distinct())
+
+
+# source assets, selection, full diagnosis
+
+SRC = """k AS (SELECT c_custkey AS k, CAST(c_custkey AS VARCHAR) AS mountain_id, c_acctbal FROM customer), p AS (SELECT *, unnest(['treeline30m', 'treeline1km', 'qa30m']) AS product FROM k),
+  rec AS (SELECT k, mountain_id, product, concat('root/', product, '/gmba_', mountain_id, '_run_hash-abcde') AS destination, 'hash-abcdef0123' AS configuration_hash, concat('t', product, k) AS task_id, CAST(k % 3 AS INT) AS attempt_count,
+    CASE WHEN product = 'treeline30m' AND k % 4 = 0 OR product = 'treeline1km' AND k % 3 = 0 THEN 'FAILED' ELSE 'COMPLETED' END AS task_state, CASE WHEN product = 'treeline1km' AND k % 6 = 0 THEN 'Out of memory' ELSE '' END AS error_message FROM p WHERE NOT (product = 'treeline30m' AND k % 9 = 1)),
+  src AS (SELECT *, k % 11 <> 0 AS there, CASE WHEN k % 11 = 0 THEN 'asset does not exist' WHEN k % 13 = 0 THEN 'not an image' WHEN k % 17 = 1 THEN 'invalid size' WHEN k % 17 = 0 THEN 'empty asset' WHEN k % 53 = 0 THEN 'identity differs' WHEN k % 59 = 0 THEN 'no band metadata' WHEN k % 19 = 0 THEN 'bands or their order differ'
+    WHEN k % 23 = 0 THEN 'bands do not share a grid' WHEN k % 29 = 0 THEN 'mountain_id differs' WHEN k % 31 = 0 THEN 'configuration_hash differs' WHEN k % 37 = 0 THEN 'run_label is missing' WHEN k % 43 = 0 THEN 'git_commit is missing' WHEN k % 47 = 0 THEN 'workflow is missing' WHEN k % 41 = 0 THEN 'child name differs' END AS source_error
+    FROM rec WHERE product = 'treeline30m'),
+  able AS (SELECT r.mountain_id, coalesce(max(CASE WHEN r.product = 'treeline30m' THEN r.task_state END), 'MISSING') AS source_state, CASE WHEN max(s.k) IS NULL THEN 'no record' ELSE max(s.source_error) END AS source_error FROM rec r LEFT JOIN src s USING (mountain_id) GROUP BY r.mountain_id)"""
+
+
+def _sources(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_custkey").cast("string").alias("mountain_id"))
+    k, product = F.col("k"), F.col("product")
+    rec = c.select("*", F.explode(F.array(*map(F.lit, control.PRODUCTS))).alias("product")).where(~((product == "treeline30m") & (k % 9 == 1)))
+    failed = ((product == "treeline30m") & (k % 4 == 0)) | ((product == "treeline1km") & (k % 3 == 0))
+    rec = rec.select(
+        "k", "mountain_id", "product", F.concat(F.lit("root/"), "product", F.lit("/gmba_"), "mountain_id", F.lit("_run_hash-abcde")).alias("destination"), F.lit("hash-abcdef0123").alias("configuration_hash"), F.concat(F.lit("t"), "product", "k").alias("task_id"),
+        (k % 3).cast("int").alias("attempt_count"), F.when(failed, "FAILED").otherwise("COMPLETED").alias("task_state"), F.when((product == "treeline1km") & (k % 6 == 0), "Out of memory").otherwise("").alias("error_message"),
+    )
+    bands = products.product_bands()["treeline30m"]
+    order = F.when(k % 59 != 0, F.when(k % 19 == 0, F.array(*map(F.lit, bands[::-1]))).otherwise(F.array(*map(F.lit, bands))))
+    assets = rec.where((product == "treeline30m") & (k % 11 != 0)).select(
+        "destination", F.when(k % 53 == 0, "other").otherwise(F.col("destination")).alias("asset_id"), F.when(k % 13 == 0, "TABLE").otherwise("IMAGE").alias("type"), F.when(k % 17 == 0, "0").when(k % 17 == 1, "none").otherwise("77").alias("size_bytes"),
+        order.alias("band_ids"), F.when(k % 23 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a"), F.lit("a"))).alias("band_grids"), F.when(k % 29 == 0, "other").otherwise(F.col("mountain_id")).alias("p_mountain_id"),
+        F.when(k % 31 != 0, F.col("configuration_hash")).alias("p_configuration_hash"), F.when(k % 37 == 0, "").when(k % 41 == 0, "walk").otherwise("run").alias("p_run_label"), F.when(k % 43 != 0, "c0ffee").alias("p_git_commit"), F.when(k % 47 != 0, "step 2").alias("p_workflow"),
+    )
+    return rec.drop("k"), validation.source_errors(rec.where(product == "treeline30m").select("mountain_id", "destination", "configuration_hash"), assets)
+
+
+@query(f"WITH {SRC} SELECT mountain_id, destination, there AS source_exists, source_error FROM src")
+def source_validation(spark, sf_dir):
+    return _sources(spark, sf_dir)[1].select("mountain_id", "destination", "source_exists", "source_error")
+
+
+@query(f"WITH {SRC} SELECT mountain_id, CAST(NULL AS VARCHAR) AS reason FROM able WHERE source_state = 'COMPLETED' AND source_error IS NULL")
+def select_all(spark, sf_dir):
+    return validation.selected(*_sources(spark, sf_dir))
+
+
+@query(f"WITH {SRC} SELECT mountain_id, CAST(NULL AS VARCHAR) AS reason FROM able WHERE source_state = 'COMPLETED' AND source_error IS NULL AND CAST(mountain_id AS BIGINT) % 6 = 0")
+def select_failed(spark, sf_dir):
+    return validation.selected(*_sources(spark, sf_dir), mode="failed")
+
+
+@query(f"""WITH {SRC}, want AS (SELECT DISTINCT CAST(s_suppkey * 7 AS VARCHAR) AS mountain_id FROM supplier) SELECT mountain_id, CASE WHEN source_state IS NULL THEN 'absent from the registry' WHEN source_state <> 'COMPLETED' THEN 'source is not completed' ELSE source_error END AS reason FROM want LEFT JOIN able USING (mountain_id)""")
+def select_ids(spark, sf_dir):
+    ids = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 7).cast("string").alias("mountain_id"))
+    return validation.selected(*_sources(spark, sf_dir), mode="ids", ids=ids)
+
+
+@query(f"""WITH {SRC}, ex AS (SELECT destination FROM rec WHERE k % 5 <> 0) SELECT r.mountain_id, r.product, task_id, r.task_state, attempt_count, error_message, r.destination, r.k % 5 <> 0 AS destination_exists,
+  coalesce(s.destination, '') AS source_treeline30m_asset, coalesce(s.there, false) AS source_treeline30m_exists, source_state AS source_treeline30m_task_state, s.k IS NOT NULL AND s.source_error IS NULL AS source_treeline30m_valid, coalesce(s.source_error, '') AS source_treeline30m_validation_error,
+  r.k % 5 <> 0 AS source_qa30m_exists, round(c_acctbal, 2) AS gmba_area_km2, round(2 * c_acctbal, 2) AS bounds_area_km2, 2.0::DOUBLE AS bounds_to_gmba_area_ratio, r.k % 7 AS required_step1_tile_count, source_state = 'COMPLETED' AND s.k IS NOT NULL AND s.source_error IS NULL AS eligible_for_materialized_1km,
+  CASE WHEN r.task_state <> 'FAILED' THEN NULL WHEN r.product = 'treeline1km' AND error_message <> '' THEN CASE WHEN source_state = 'COMPLETED' THEN 'treeline1km_oom_with_completed_treeline30m' ELSE 'treeline1km_oom_without_completed_treeline30m' END ELSE 'other_error' END AS failure_category
+  FROM rec r JOIN able USING (mountain_id) JOIN k USING (mountain_id) LEFT JOIN (SELECT mountain_id, k, destination, there, source_error FROM src) s USING (mountain_id)""")
+def diagnostic_rows(spark, sf_dir):
+    rec, errors = _sources(spark, sf_dir)
+    c = table(spark, sf_dir, "customer")
+    area = F.round("c_acctbal", 2)
+    metrics = c.select(F.col("c_custkey").cast("string").alias("mountain_id"), area.alias("gmba_area_km2"), F.round(2 * F.col("c_acctbal"), 2).alias("bounds_area_km2"), F.lit(2.0).alias("bounds_to_gmba_area_ratio"), (F.col("c_custkey") % 7).alias("required_step1_tile_count"))
+    return validation.diagnostic_rows(rec, rec.where(F.col("mountain_id").cast("long") % 5 != 0), errors, metrics)
+
+
+@query("""SELECT concat('t', k) AS task_id, CASE WHEN k % 2 = 0 THEN CAST(k % 5 AS INT) ELSE CAST(k % 4 AS INT) END AS attempt_count, CASE k % 3 WHEN 0 THEN 'new' WHEN 1 THEN 'old' ELSE '' END AS error_message FROM (SELECT o_orderkey AS k FROM orders) t""")
+def registry_layouts(spark, sf_dir):
+    k, n = F.col("o_orderkey"), F.concat(F.lit("t"), F.col("o_orderkey"))
+    old = table(spark, sf_dir, "orders").select(
+        F.when(k % 3 == 0, n).when(k % 3 == 1, "").alias("task_id"), F.when(k % 3 == 1, n).alias("id"), F.when(k % 3 == 2, n).otherwise("other").alias("name"), F.when(k % 2 == 0, (k % 5).cast("int")).alias("attempt_count"), (k % 4).cast("int").alias("attempt"),
+        F.when(k % 3 == 0, "new").otherwise("").alias("error_message"), F.when(k % 3 == 2, None).otherwise("old").alias("error"),
+    )
+    return validation.coalesced(old)
+
+
+@query("""WITH inv AS (SELECT DISTINCT CASE WHEN s_suppkey % 2 = 0 THEN 'h3m' ELSE 'h5m' END AS product, concat('T', s_suppkey // 2 % 50) AS tile_id FROM supplier), req AS (SELECT DISTINCT concat('T', c_nationkey * 3) AS tile_id FROM customer), pair AS (SELECT tile_id FROM inv GROUP BY tile_id HAVING count(*) = 2),
+  miss AS (SELECT tile_id FROM req WHERE tile_id NOT IN (SELECT tile_id FROM pair)) SELECT (SELECT count(*) FROM inv WHERE tile_id = 'T7') AS n_errors, (SELECT count(*) FROM req) AS required_tiles, (SELECT coalesce(list(tile_id ORDER BY tile_id), []) FROM miss) AS missing_required_tile_ids, false AS ready""")
+def step1_integrity(spark, sf_dir):
+    s = F.col("s_suppkey")
+    inv = table(spark, sf_dir, "supplier").select(F.when(s % 2 == 0, "h3m").otherwise("h5m").alias("product"), F.concat(F.lit("T"), F.expr("s_suppkey div 2 % 50")).alias("tile_id")).distinct()
+    required = table(spark, sf_dir, "customer").select(F.concat(F.lit("T"), F.col("c_nationkey") * 3).alias("tile_id"))
+    return validation.integrity(inv.where("tile_id = 'T7'"), inv, required)
+
+
+@query("""WITH c AS (SELECT *, row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1 AS up, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS down, count(*) OVER () AS n FROM customer)
+  SELECT 'smallest' AS kind, c_custkey, c_acctbal FROM c WHERE up = 0 UNION ALL SELECT 'median', c_custkey, c_acctbal FROM c WHERE up = n // 2 UNION ALL SELECT 'largest', c_custkey, c_acctbal FROM c WHERE down = 1""")
+def area_representatives(spark, sf_dir):
+    return validation.by_area(table(spark, sf_dir, "customer"), "c_custkey", "c_acctbal")
 
 
 @query("""SELECT c_custkey, c_name FROM (SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS k, count(*) OVER () AS n FROM customer) t WHERE k = n // 2""")
@@ -626,8 +715,8 @@ def mountain_plan(spark, sf_dir):
 def vector_split(spark, sf_dir):
     # the split of an array with the largest between-class score: cumulative sums and arg-max over array functions
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda t, v: t + v)
-    s = e.select("vec_id", F.size("x").alias("n"), total(F.col("x")).alias("t"), F.transform(F.sequence(F.lit(1), F.size("x") - 1), lambda i: total(F.slice("x", 1, i))).alias("u"))
+    running = F.aggregate("x", F.array().cast("array<double>"), lambda a, v: F.array_append(a, F.coalesce(F.get(a, F.size(a) - 1), F.lit(0.0)) + v))
+    s = e.select("vec_id", F.size("x").alias("n"), running.alias("r")).select("vec_id", "n", F.element_at("r", -1).alias("t"), F.slice("r", F.lit(1), F.col("n") - 1).alias("u"))
     score = F.transform("u", lambda u, i: F.struct(F.round(u * u / (i + 1) + (F.col("t") - u) * (F.col("t") - u) / (F.col("n") - i - 1), 9).alias("score"), (i + 1).alias("split")))
     best = s.select("vec_id", F.array_max(score).alias("b"))
     return best.select("vec_id", F.col("b.split").alias("split"), F.round("b.score", 6).alias("score"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ecotone.sources.staging import stage
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
     """(id, component): the smallest id reachable over edges (u, v), for every id with an edge.
 
     Each round an id takes the least label among its own, its neighbours' and
@@ -25,5 +25,5 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         new = stage(own.join(jump, "component", "left").select("id", F.least("component", F.coalesce("next", "component")).alias("component"), "was"), "labels")
         label = new.select("id", "component")
         if not new.where("component <> was").limit(1).count():
-            break
-    return label
+            return label
+    raise RuntimeError(f"labels still move after {most_rounds} rounds")

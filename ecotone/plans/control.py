@@ -79,7 +79,8 @@ def receipt_matches(receipt: dict, identity: dict) -> list[str]:
 def planned(mountains: DataFrame, root: str, settings_hash: str, products=PRODUCTS) -> DataFrame:
     """A PLANNED row for each mountain and product."""
     rows = mountains.select("mountain_id", F.explode(F.array(*map(F.lit, products))).alias("product"))
-    name = F.concat_ws("_", "product", safe_name(F.col("mountain_id")))
+    safe = F.coalesce(safe_name(F.col("mountain_id")), F.raise_error(F.lit("a mountain_id has no character that a name may have")).cast("string"))
+    name = F.concat_ws("_", "product", safe)
     return rows.select("mountain_id", "product", F.concat(F.lit(f"{root}/"), "product", F.lit("/"), name).alias("destination"), name.alias("description"), F.lit(settings_hash).alias("configuration_hash"), F.lit("PLANNED").alias("state"))
 
 
@@ -207,5 +208,4 @@ def table_facts(df: DataFrame, key: str, required: list[str], hm: str, tree: str
 
 def representative(df: DataFrame, key: str) -> DataFrame:
     """The middle row by key: that at position n // 2, counted from zero."""
-    alone = Window.partitionBy(F.lit(0))
-    return df.withColumns({"_r": F.row_number().over(alone.orderBy(key)) - 1, "_n": F.count(F.lit(1)).over(alone)}).where(F.col("_r") == F.floor(F.col("_n") / 2)).drop("_r", "_n")
+    return df.orderBy(key).offset(df.count() // 2).limit(1)
