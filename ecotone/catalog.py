@@ -242,12 +242,18 @@ def overlap_weights(spark, sf_dir):
     return regrid.overlaps(lattice(spark, sf_dir).select("row_idx", "col_idx")).groupBy("crow", "ccol").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("cells"))
 
 
-@query("""WITH f(lon, lat, a, b) AS (VALUES (0.000125, 0.000125, 0.0, 0.0), (0.000375, 0.000125, 10.0, NULL)), w AS (SELECT *, least(1.0, greatest(least(lon + 0.000125, 0.0003) - greatest(lon - 0.000125, 0.0), 0) * greatest(least(lat + 0.000125, 0.00025) - greatest(lat - 0.000125, 0.0), 0) / 6.25e-8) AS w FROM f)
-  SELECT count(*) AS overlaps, round(sum(CASE WHEN a IS NOT NULL THEN w END)::DOUBLE, 9) AS a_weight, round(sum(CASE WHEN b IS NOT NULL THEN w END)::DOUBLE, 9) AS b_weight, round((sum(a * w) / sum(CASE WHEN a IS NOT NULL THEN w END))::DOUBLE, 9) AS a, round((sum(b * w) / sum(CASE WHEN b IS NOT NULL THEN w END))::DOUBLE, 9) AS b FROM w WHERE w > 0""")
+BOX = (0.01, 0.005, 0.0175, 0.0125)
+
+
+@query(f"""WITH {LAT}, f AS (SELECT (c + 0.5) * 0.00025::DOUBLE AS lon, (r + 0.5) * 0.00025::DOUBLE AS lat, v::DOUBLE AS a, CASE WHEN cents % 3 = 0 THEN p::DOUBLE END AS b FROM lat),
+  w AS (SELECT *, least(1.0, greatest(least(lon + 0.000125, {BOX[2]}) - greatest(lon - 0.000125, {BOX[0]}), 0) * greatest(least(lat + 0.000125, {BOX[3]}) - greatest(lat - 0.000125, {BOX[1]}), 0) / 6.25e-8)::DOUBLE AS w FROM f)
+  SELECT count(*) AS overlaps, round(sum(CASE WHEN a IS NOT NULL THEN w END), 4) AS a_weight, round(sum(CASE WHEN b IS NOT NULL THEN w END), 4) AS b_weight, round(sum(a * w) / sum(CASE WHEN a IS NOT NULL THEN w END), 2) AS a, round(sum(b * w) / sum(CASE WHEN b IS NOT NULL THEN w END), 0) AS b FROM w WHERE w > 1e-6""")
 def overlap_sample(spark, sf_dir):
-    rows = spark.sql("SELECT * FROM VALUES (0.000125D, 0.000125D, 0.0D, 0.0D), (0.000375D, 0.000125D, 10.0D, NULL) AS t(lon, lat, a, b)")
-    got = regrid.overlap_means(rows, ["a", "b"])
-    return got.select("overlaps", *(F.round(c, 9).alias(c) for c in got.columns[1:]))
+    df = lattice(spark, sf_dir).select(((F.col("col_idx") + 0.5) * 0.00025).alias("lon"), ((F.col("row_idx") + 0.5) * 0.00025).alias("lat"), F.col("v").cast("double").alias("a"), F.when(F.col("cents") % 3 == 0, F.col("p").cast("double")).alias("b"))
+    # cells that touch the box with an edge only are left out: their overlap is rounding
+    inside = df.where(f"lon > {BOX[0]} AND lon < {BOX[2]} AND lat > {BOX[1]} AND lat < {BOX[3]}")
+    got = regrid.overlap_means(inside, ["a", "b"], cell=BOX)
+    return got.select("overlaps", F.round("a_weight", 4).alias("a_weight"), F.round("b_weight", 4).alias("b_weight"), F.round("a", 2).alias("a"), F.round("b", 0).alias("b"))
 
 
 # histograms and thresholds
@@ -378,17 +384,19 @@ def candidate_cascade(spark, sf_dir):
 
 def _qa_sql() -> str:
     out = []
-    for b in products.product_bands()["qa30m"]:
+    for j, b in enumerate(products.product_bands()["qa30m"]):
+        own = f"CASE WHEN cents % {j + 2} <> 0 THEN cents + {j} END"
         filled = {"dem_msk": 255, "dem_stk": 0, "analysis_domain": 0, "gmba_mask": 0, "non_valley": 0}
         flag = b in filled or b.startswith(("forest_clean_", "candidate_edge_", "edge_post_landform_", "upper_", "cold_zone_"))
-        out.append(f"{f'coalesce(v, {filled.get(b, 0)})' if flag else 'v'} AS {b}")
+        out.append(f"{f'coalesce({own}, {filled.get(b, 0)})' if flag else own} AS {b}")
     return f"WITH {LAT} SELECT r AS row_idx, c AS col_idx, {', '.join(out)} FROM lat"
 
 
 @query(_qa_sql())
 def qa_stack(spark, sf_dir):
-    df = lattice(spark, sf_dir)
-    return products.qa_stack(df.withColumns({b: F.col("v") for b in products.product_bands()["qa30m"]}), ["row_idx", "col_idx"])
+    c = F.col("cents")
+    own = {b: F.when(c % (j + 2) != 0, c + j) for j, b in enumerate(products.product_bands()["qa30m"])}
+    return products.qa_stack(lattice(spark, sf_dir).withColumns(own), ["row_idx", "col_idx"])
 
 
 # mountains and tiles
@@ -494,13 +502,22 @@ def stratified_sample(spark, sf_dir):
     return compare.stratified(lattice(spark, sf_dir), "event_type", ["row_idx", "col_idx"], 3, 17).select("row_idx", "col_idx", "event_type")
 
 
-@query(f"""WITH {OVER}, m AS (SELECT kr, kc, {_mean_sql('treeline_2000_h3m_m')} AS x FROM o GROUP BY kr, kc) SELECT 'treeline' AS band, 0.001::DOUBLE AS tolerance, count(x) AS cells, 0.0::DOUBLE AS largest, true AS passes FROM m""")
+@query(f"""WITH {LAT}, b AS (SELECT r, c, {BANDS4} FROM lat), e AS (SELECT *, unnest(range(CAST(floor(r * 0.03) AS BIGINT), CAST(floor(r * 0.03 + 0.0299999) AS BIGINT) + 1)) AS kr FROM b), g AS (SELECT *, unnest(range(CAST(floor(c * 0.03) AS BIGINT), CAST(floor(c * 0.03 + 0.0299999) AS BIGINT) + 1)) AS kc FROM e),
+  h AS (SELECT *, (least(r * 0.03 + 0.03, kr + 1) - greatest(r * 0.03, kr)) * (least(c * 0.03 + 0.03, kc + 1) - greatest(c * 0.03, kc)) AS w FROM g),
+  m AS (SELECT kr, kc, sum(treeline_2000_h3m_m * w) / nullif(sum(CASE WHEN treeline_2000_h3m_m IS NOT NULL THEN w END), 0) AS x, sum(treeline_2020_h3m_m * w) / nullif(sum(CASE WHEN treeline_2020_h3m_m IS NOT NULL THEN w END), 0) AS y FROM h GROUP BY kr, kc)
+  SELECT 'treeline_2000_h3m_m' AS band, 0.001::DOUBLE AS tolerance, count(x) AS cells, 0.0::DOUBLE AS largest, max(abs(x - x)) <= 0.001 AS passes FROM m UNION ALL
+  SELECT 'treeline_2020_h3m_m', 0.001::DOUBLE, count(y), round(max(abs(CASE WHEN kr % 2 = 0 THEN 0.5 ELSE 0 END)), 3)::DOUBLE, max(CASE WHEN kr % 2 = 0 THEN 0.5 ELSE 0 END) <= 0.001 FROM m WHERE y IS NOT NULL""")
 def sample_check(spark, sf_dir):
-    df = _bands4(lattice(spark, sf_dir)).withColumn("treeline", F.col("treeline_2000_h3m_m"))
-    once = regrid.mean(df, ["treeline"])
-    # the same means from sums of integers, cell by cell of the climate grid
-    again = regrid.overlaps(df).where("treeline IS NOT NULL").groupBy("crow", "ccol").agg((F.sum(F.col("treeline") * F.col("weight")) / F.sum("weight")).alias("treeline"))
-    return compare.within(once, again, {"treeline": 1e-3}, ["crow", "ccol"]).withColumn("largest", F.round("largest", 3))
+    """The engine's means against sums over overlaps in climate cells' own units; an error planted in every second row of one band must fail."""
+    df = _bands4(lattice(spark, sf_dir))
+    bands = ["treeline_2000_h3m_m", "treeline_2020_h3m_m"]
+    means = regrid.mean(df, bands).withColumn(bands[1], F.col(bands[1]) + F.when(F.col("crow") % 2 == 0, 0.5).otherwise(0.0))
+    low, high = lambda c: F.floor(F.col(c) * 0.03), lambda c: F.floor(F.col(c) * 0.03 + 0.0299999)
+    cut = df.withColumn("crow", F.explode(F.sequence(low("row_idx"), high("row_idx")))).withColumn("ccol", F.explode(F.sequence(low("col_idx"), high("col_idx"))))
+    along = lambda c, k: F.least(F.col(c) * 0.03 + 0.03, F.col(k) + 1) - F.greatest(F.col(c) * 0.03, F.col(k))
+    cut = cut.withColumn("w", along("row_idx", "crow") * along("col_idx", "ccol"))
+    again = cut.groupBy("crow", "ccol").agg(*(F.try_divide(F.sum(F.col(b) * F.col("w")), F.sum(F.when(F.col(b).isNotNull(), F.col("w")))).alias(b) for b in bands))
+    return compare.within(means, again, dict.fromkeys(bands, 1e-3), ["crow", "ccol"]).withColumn("largest", F.round("largest", 3))
 
 
 # control plane
