@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ecotone.llm.shared import worker_cache
 
 #: Entries in the younger half of a worker's cache; beyond this many it becomes the older half. Memory only, results do not depend on it.
-CACHE = 500_000
+CACHE = 250_000
 #: Words that one recursive query takes, and the sum of their squared lengths: twice the rows of all its steps at most.
 WORDS, ROWS = 10_000, 1_500_000
 #: Characters that are encoded at a time.
