@@ -206,7 +206,11 @@ def stream_groups(batches, keys):
 
 
 def forest(a, b, parent: dict | None = None):
-    """Edges of a spanning forest over the links (a[i], b[i]): what components need, in linear size. With `parent`, over those and all links given with it before."""
+    """Edges that connect what the links (a[i], b[i]) do: what components need, in linear size. With `parent`, over those and all links given with it before.
+
+    An edge names the two trees that it joins by their least members, so edges
+    from many cells with the same members are mostly the same few.
+    """
     parent = {} if parent is None else parent
 
     def top(x):
@@ -219,7 +223,7 @@ def forest(a, b, parent: dict | None = None):
         p, q = top(x), top(y)
         if p != q:
             parent[max(p, q)] = min(p, q)
-            out.append((x, y))
+            out.append((max(p, q), min(p, q)))
     return out
 
 
@@ -228,7 +232,8 @@ def cell_forest(a, b, same: bool, near, ids, step: int = 64) -> list:
 
     Links within a block are the business of the block's own cell (same): in
     any other cell they only tell which links across are new, so a large group
-    of copies gives one link a cell, not one a row.
+    of copies gives one link a cell, not one a row.  Rows should come by id:
+    then a group of copies is a star around its least id in each cell.
     """
     parent: dict = {}
 

@@ -192,12 +192,12 @@ def probes(probing: list) -> list:
 
 
 def links(fps: DataFrame, distance: int = 2) -> DataFrame:
-    """Links (u, v) that connect all distinct fingerprints (fp) within the distance."""
+    """Pairs (u, v) that connect all distinct fingerprints (fp) within the distance, found by links in each cell."""
     n, together = bit_statistics(fps)
     masks = probes(plan(n, together, distance))
     tagged = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("p"), F.col("fp").bitwiseAND(F.lit(m)).alias("val")) for i, m in masks))).alias("x")).select("fp", "x.p", "x.val")
     cells = block_cells(tagged, ["p", "val"], "fp", BLOCK)
-    cells = cells.repartition("p", "val", "_i", "_j").sortWithinPartitions("p", "val", "_i", "_j").select("p", "val", "_i", "_j", "_k", "fp")
+    cells = cells.repartition("p", "val", "_i", "_j").sortWithinPartitions("p", "val", "_i", "_j", "fp").select("p", "val", "_i", "_j", "_k", "fp")
 
     def run(batches):
         import numpy as np
@@ -283,10 +283,10 @@ def sketches(rows: DataFrame, width: int) -> DataFrame:
 
 
 def candidates(reps: DataFrame) -> DataFrame:
-    """Links (u, v) that connect all sets (fp, sig, bands) which share a band and look alike: a spanning forest of each cell."""
+    """Pairs (u, v) that connect all sets (fp, sig, bands) which share a band and look alike: a spanning forest of each cell, by least members."""
     keys = ["p", "val", "_i", "_j"]
     cells = block_cells(reps.select("fp", "sig", F.posexplode("bands").alias("p", "val")), ["p", "val"], "fp", BLOCK)
-    cells = cells.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "_k", "fp", "sig")
+    cells = cells.repartition(*keys).sortWithinPartitions(*keys, "fp").select(*keys, "_k", "fp", "sig")
 
     def run(batches):
         import numpy as np
@@ -309,10 +309,10 @@ def candidates(reps: DataFrame) -> DataFrame:
 
 
 def verified(sets: DataFrame, jaccard: float) -> DataFrame:
-    """Links (u, v) that connect all sets (fp, component, shingles) of a component with the likeness: pairs that are connected already are passed over."""
+    """Pairs (u, v) that connect all sets (fp, component, shingles) of a component with the likeness: what is connected already is passed over."""
     keys = ["component", "_i", "_j"]
     cells = block_cells(sets, ["component"], "fp", VERIFIED)
-    cells = cells.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "_k", "fp", "shingles")
+    cells = cells.repartition(*keys).sortWithinPartitions(*keys, "fp").select(*keys, "_k", "fp", "shingles")
 
     def run(batches):
         import numpy as np
@@ -325,7 +325,7 @@ def verified(sets: DataFrame, jaccard: float) -> DataFrame:
             parent = np.arange(len(fp))
 
             def joined(p, q, inside, own=own, parent=parent, fp=fp):
-                """Links that connect rows of p and q which were not connected."""
+                """Links that connect rows of p and q which were not connected, between the least rows of what they connect."""
                 out = []
                 for x in p:
                     for y in q[parent[q] != parent[x]].tolist():
@@ -334,8 +334,9 @@ def verified(sets: DataFrame, jaccard: float) -> DataFrame:
                             continue
                         both = len(np.intersect1d(own[x], own[y], assume_unique=True))
                         if both >= jaccard * (n + m - both) - 1e-9:
-                            parent[parent == parent[y]] = parent[x]
-                            out.append((int(fp[x]), int(fp[y])))
+                            least, most = sorted((int(parent[x]), int(parent[y])))
+                            parent[parent == most] = least
+                            out.append((int(fp[most]), int(fp[least])))
                 return out
 
             a, b = np.flatnonzero(k == i), np.flatnonzero(k == j)
