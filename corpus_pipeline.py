@@ -21,7 +21,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, Jaccard likeness of 0.8): the smallest id's. Texts without words have no shingle, so those documents stay."""
+    """One document of each group of near copies (five-word shingles, Jaccard likeness of 0.8): the smallest id's. SimHash fingerprints and pigeonhole probes bring them together, an exact check of the shingles follows. Texts without words have no shingle, so those documents stay."""
     return simhash.one_of_each(docs)
 
 

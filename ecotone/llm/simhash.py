@@ -16,14 +16,18 @@ and text columns are read.
 
 `near_copies` is for whole corpora: texts whose sets of five-word shingles have
 a Jaccard likeness of 0.8 or more.  Such texts differ in about 10 of 64 bits,
-too many for probes, so bands of least hashes bring the candidates together;
-each link is verified on the whole sets of shingles.
+too many for the probes of one fingerprint, so each set gets several independent
+fingerprints (`forms`), each with its own plan of parts and thresholds.  Sets
+within the plan's distance in any fingerprint always meet; those at the likeness
+wanted, which are mostly farther apart, agree in some part of some fingerprint
+but for a chance of MISS.  What meets is tested bit by bit, and each link is
+verified on the whole sets of shingles.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
-from math import comb
+from math import ceil, comb, inf, log, log1p
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,10 +41,14 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 CHUNK = 100_000
 #: Rows of a block; a cell holds two at most.
 BLOCK = 1024
-#: Bands of so many least hashes: texts at a likeness of 0.8 share one but for 1 in 100,000.
-BANDS, ROWS = 16, 3
-#: Candidates have this many equal bytes of the least hashes; at a likeness of 0.8 the mean is 38, the deviation under 3.
-LEAST = 24
+#: Of two sets at a likeness of 0.8 a fingerprint's bit differs with this chance at most: 0.152 (arccos(8/9)/pi) if they are large, 3/16 if they have 4 and 5 members.
+APART = 3 / 16
+#: The chance that two such sets meet in no probe.
+MISS = 1e-5
+#: Writing a probe's row costs as much as comparing so many pairs of them, and so does one fingerprint of a text.
+ROW, PRINT = 1000, 6000
+#: Sets that meet are compared in so many fingerprints, the first two before the rest, and differ in so many bits at most: five deviations over APART in the first two (mean 24), four in all (mean 60).
+TESTED, FIRST, NEAR = 5, 46, 88
 #: Texts of a block while links are verified.
 VERIFIED = 256
 
@@ -104,25 +112,28 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", width:
     return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, fp long")
 
 
-def bit_statistics(fps: DataFrame) -> tuple:
-    """(n, 64 x 64 counts of bits set together) over all fingerprints: each task sends one matrix."""
+def bit_statistics(rows: DataFrame, count: int) -> list:
+    """(n, 64 x 64 counts of bits set together) for each of the `count` fingerprints in the array `prints`: each task sends one matrix a fingerprint."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        total, n = np.zeros((64, 64), dtype=np.int64), 0
+        total, n = np.zeros((count, 64, 64), dtype=np.int64), 0
         for batch in batches:
-            bits = np.unpackbits(batch.column(0).to_numpy(zero_copy_only=False).astype(">i8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.float64)
-            total += (bits.T @ bits).astype(np.int64)
-            n += len(bits)
-        yield pa.RecordBatch.from_arrays([pa.array(range(65), pa.int32()), pa.array([*total.tolist(), [n] * 64], pa.list_(pa.int64()))], ["b", "c"])
+            prints = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(">i8").reshape(-1, count)
+            for k in range(count):
+                bits = np.unpackbits(np.ascontiguousarray(prints[:, k]).view(np.uint8).reshape(-1, 8), axis=1).astype(np.float64)
+                total[k] += (bits.T @ bits).astype(np.int64)
+            n += len(prints)
+        yield pa.RecordBatch.from_arrays([pa.array(range(64 * count + 1), pa.int32()), pa.array([*total.reshape(-1, 64).tolist(), [n] * 64], pa.list_(pa.int64()))], ["b", "c"])
 
     import numpy as np
 
-    sums = fps.select("fp").mapInArrow(run, "b int, c array<long>").groupBy("b").agg(F.array(*(F.sum(F.col("c")[i]) for i in range(64))).alias("c"))
-    got = {r["b"]: r["c"] for r in sums.collect()}  # 65 rows
-    return (got[64][0] if got else 0), np.array([got[i] for i in range(64)], dtype=np.float64) if got else np.zeros((64, 64))
+    sums = rows.select("prints").mapInArrow(run, "b int, c array<long>").groupBy("b").agg(F.array(*(F.sum(F.col("c")[i]) for i in range(64))).alias("c"))
+    got = {r["b"]: r["c"] for r in sums.collect()}  # 64 rows a fingerprint, and one
+    n = got[64 * count][0] if got else 0
+    return [(n, np.array([got[64 * k + i] for i in range(64)], dtype=np.float64) if got else np.zeros((64, 64))) for k in range(count)]
 
 
 def group_bits(n: int, together, parts: int) -> list:
@@ -147,15 +158,17 @@ def group_bits(n: int, together, parts: int) -> list:
     return out
 
 
-def estimated(n: int, together, part: list, t: int) -> float:
-    """Cost of probing a part with threshold t: rows written and pairs compared, from how often each bit agrees."""
+def estimated(n: int, together, part: list, t: int, row: int = 50) -> float:
+    """Cost of probing a part with threshold t: rows written (each as dear as `row` pairs) and pairs compared, from how often each bit agrees."""
     if t < 0:
         return 0.0
+    if t >= len(part):  # no bit is left to probe
+        return inf
     p = together.diagonal()[part] / max(n, 1)
     chance = [1.0] + [0.0] * t  # of so many differing bits
     for agree in p * p + (1 - p) * (1 - p):
         chance = [c * agree + (chance[i - 1] * (1 - agree) if i else 0.0) for i, c in enumerate(chance)]
-    return n * comb(len(part), t) * 50 + n * n / 2 * sum(chance) * comb(len(part), t)
+    return n * comb(len(part), t) * row + n * n / 2 * sum(chance) * comb(len(part), t)
 
 
 def allocate(costs: list, distance: int) -> tuple:
@@ -171,12 +184,12 @@ def allocate(costs: list, distance: int) -> tuple:
     return best[distance + 1]
 
 
-def plan(n: int, together, distance: int = 2, most_parts: int = 5) -> list:
-    """[(bits of the part, threshold)] of the cheapest grouping."""
+def plan(n: int, together, distance: int = 2, numbers=range(1, 6), row: int = 50) -> list:
+    """[(bits of the part, threshold)] of the cheapest grouping into one of these numbers of parts."""
     found = []
-    for m in range(1, most_parts + 1):
+    for m in numbers:
         parts = group_bits(n, together, m)
-        cost, ts = allocate([[estimated(n, together, part, t) for t in range(-1, distance + 1)] for part in parts], distance)
+        cost, ts = allocate([[estimated(n, together, part, t, row) for t in range(-1, distance + 1)] for part in parts], distance)
         found.append((cost, m, [(part, t) for part, t in zip(parts, ts, strict=True) if t >= 0]))
     return min(found)[2]
 
@@ -193,7 +206,7 @@ def probes(probing: list) -> list:
 
 def links(fps: DataFrame, distance: int = 2) -> DataFrame:
     """Pairs (u, v) that connect all distinct fingerprints (fp) within the distance, found by links in each cell."""
-    n, together = bit_statistics(fps)
+    n, together = bit_statistics(fps.select(F.array("fp").alias("prints")), 1)[0]
     masks = probes(plan(n, together, distance))
     tagged = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("p"), F.col("fp").bitwiseAND(F.lit(m)).alias("val")) for i, m in masks))).alias("x")).select("fp", "x.p", "x.val")
     cells = block_cells(tagged, ["p", "val"], "fp", BLOCK)
@@ -249,43 +262,62 @@ def set_hash(shingles) -> int:
     return int(np.uint64(xxh64_intdigest(shingles.tobytes(), SEED)).astype(np.int64))
 
 
-def least_hashes(shingles, mix):
-    """The least of the shingles' hashes under each of BANDS * ROWS mixings."""
+def forms(n: int) -> tuple:
+    """(distance, number of fingerprints): the cheapest for n sets with which two sets at the likeness wanted meet but for MISS.
+
+    At a distance of d a fingerprint has d + 1 parts, so a small distance means
+    wide parts, which seldom agree by chance, and many fingerprints; the more
+    sets, the wider the parts.
+    """
+    found = []
+    for distance in range(2, 9):
+        parts, width = distance + 1, 64 / (distance + 1)
+        count = max(TESTED, ceil(log(MISS) / (parts * log1p(-((1 - APART) ** width)))))
+        met = n / 2**width
+        found.append((count * (PRINT + parts * (ROW * max(1.0, met / BLOCK) + met / 2)), distance, count))
+    return min(found)[1:]
+
+
+def set_prints(shingles, count: int):
+    """int64 SimHash fingerprints of a set of hashes: the first from the hashes' own bits, each other from a mixing of them."""
     import numpy as np
 
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
-    for a in range(0, len(shingles), 8192):
-        least = np.minimum(least, ((shingles[None, a : a + 8192] ^ mix[0]) * (mix[1] | np.uint64(1))).min(axis=1))
-    return least
+    ones = np.zeros(64 * count, dtype=np.int64)
+    for a in range(0, len(shingles), 255):  # sums of 255 bits fit a byte
+        h = shingles[a : a + 255, None] + np.arange(count, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+        h[:, 0] = shingles[a : a + 255]
+        ones += np.unpackbits(h.astype(">u8").view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(shingles)).view(">i8").astype(np.int64)
 
 
-def sketches(rows: DataFrame, width: int) -> DataFrame:
-    """(id, h, fp, sig, bands) of rows (id, h, text): the hash of each text's set, a byte of each least hash, and a hash of each band."""
+def sketches(rows: DataFrame, width: int, count: int) -> DataFrame:
+    """(id, h, fp, prints) of rows (id, h, text): the hash of each text's set and the set's `count` fingerprints."""
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
-        from xxhash import xxh64_intdigest
 
         worker_cache("simhash")
-        mix = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS, 1), dtype=np.uint64)
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
                 sets = [shingle_set(t.as_py(), width) for t in part.column(2)]
-                least = [least_hashes(x, mix) for x in sets]
-                bands = [np.array([xxh64_intdigest(x[b : b + ROWS].tobytes(), b) for b in range(0, BANDS * ROWS, ROWS)], dtype=np.uint64).view(np.int64) for x in least]
-                cols = [part.column(0), part.column(1), pa.array([set_hash(x) for x in sets], pa.int64()), pa.array([x.astype(np.uint8).tobytes() for x in least], pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(cols, ["id", "h", "fp", "sig", "bands"])
+                prints = pa.array([set_prints(x, count) for x in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([set_hash(x) for x in sets], pa.int64()), prints], ["id", "h", "fp", "prints"])
 
-    return rows.select("id", "h", "text").mapInArrow(run, f"id {kind}, h long, fp long, sig binary, bands array<long>")
+    return rows.select("id", "h", "text").mapInArrow(run, f"id {kind}, h long, fp long, prints array<long>")
 
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """Pairs (u, v) that connect all sets (fp, sig, bands) which share a band and look alike: a spanning forest of each cell, by least members."""
+def candidates(reps: DataFrame, distance: int, count: int) -> DataFrame:
+    """Pairs (u, v) that connect all sets (fp, prints) which share a probe of some fingerprint and look alike: a spanning forest of each cell, by least members."""
     keys = ["p", "val", "_i", "_j"]
-    cells = block_cells(reps.select("fp", "sig", F.posexplode("bands").alias("p", "val")), ["p", "val"], "fp", BLOCK)
+    masks = [(k, m) for k, (n, together) in enumerate(bit_statistics(reps, count)) for _, m in probes(plan(n, together, distance, [distance + 1], ROW))]
+    probed = F.array(*(F.struct(F.lit(p).alias("p"), F.col("prints")[k].bitwiseAND(F.lit(m)).alias("val")) for p, (k, m) in enumerate(masks)))
+    cells = block_cells(reps.select("fp", F.slice("prints", 1, TESTED).alias("sig"), F.explode(probed).alias("x")).select("fp", "sig", "x.p", "x.val"), ["p", "val"], "fp", BLOCK)
     cells = cells.repartition(*keys).sortWithinPartitions(*keys, "fp").select(*keys, "_k", "fp", "sig")
 
     def run(batches):
@@ -294,18 +326,32 @@ def candidates(reps: DataFrame) -> DataFrame:
 
         for group in stream_groups(batches, keys):
             fp, k = (group.column(c).to_numpy() for c in ("fp", "_k"))
-            sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), dtype=np.uint8).reshape(len(fp), -1)
+            sig = group.column("sig").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(fp), TESTED).view(np.uint64)
+            one, two = (np.ascontiguousarray(sig[:, c]) for c in (0, 1))
             i, j = group.column("_i")[0].as_py(), group.column("_j")[0].as_py()
-            def near(x, y, sig=sig):
-                at, to = np.nonzero((sig[x, None] == sig[y][None, :]).sum(axis=2) >= LEAST)
-                return x[at], y[to]
+            def near(x, y, sig=sig, one=one, two=two):
+                apart = np.bitwise_count(one[x, None] ^ one[y][None, :])
+                apart += np.bitwise_count(two[x, None] ^ two[y][None, :])
+                at, to = np.nonzero(apart <= FIRST)
+                x, y = x[at], y[to]
+                like = np.bitwise_count(sig[x] ^ sig[y]).sum(axis=1, dtype=np.int64) <= NEAR
+                return x[like], y[like]
 
             got = cell_forest(np.flatnonzero(k == i), np.flatnonzero(k == j), i == j, near, fp)
             if got:
                 us, vs = zip(*got, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
-    return cells.mapInArrow(run, "u long, v long")
+    return stars(cells.mapInArrow(run, "u long, v long"))
+
+
+def stars(found: DataFrame) -> DataFrame:
+    """Pairs (u, v) that connect what those found do (u > v): each u keeps its least v, and its other v hang on that one, so a group met in many cells is mostly one star.
+
+    A u has a v for each of its cells at most.
+    """
+    of = found.groupBy("u").agg(F.collect_set("v").alias("vs")).withColumn("v", F.array_min("vs"))
+    return of.select(F.explode(F.array_union(F.array("u"), F.array_except("vs", F.array("v")))).alias("u"), "v")
 
 
 def verified(sets: DataFrame, jaccard: float) -> DataFrame:
@@ -361,10 +407,11 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", width: i
     equal, empty sets.
     """
     rows = df.select(F.col(key).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"), F.col(text).alias("text"))
-    prints = stage(sketches(rows, width), "copies-sketches")
+    distance, count = forms(rows.count())
+    prints = stage(sketches(rows, width, count), "copies-sketches")
     own = F.struct(F.col("id").isNull().alias("n"), "id", "h")
-    reps = stage(prints.groupBy("fp").agg(F.min(own).alias("rep"), F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands")), "copies-reps")
-    maybe = components(candidates(reps), "copies-maybe").withColumnRenamed("id", "fp")
+    reps = stage(prints.groupBy("fp").agg(F.min(own).alias("rep"), F.any_value("prints").alias("prints")), "copies-reps")
+    maybe = components(candidates(reps, distance, count), "copies-maybe").withColumnRenamed("id", "fp")
     asked = reps.join(maybe, "fp").select(F.col("rep.id").alias("_id"), F.col("rep.h").alias("_h"), "fp", "component")
 
     def run(batches):

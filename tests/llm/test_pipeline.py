@@ -80,6 +80,40 @@ def test_simhash_stage_against_brute_force(spark, sf_dir, monkeypatch):
     assert {r["doc_id"] for r in P.simhash_stage(spark, df, sf_dir).collect()} == set(exact_groups(dict(enumerate(texts))).values())
 
 
+def test_simhash_stage_goes_through_fingerprints(spark, sf_dir, monkeypatch):
+    """Copies with few edits meet only in the probes of SimHash fingerprints that the plans of thresholds give."""
+    rnd = random.Random(9)
+    base = ["".join(rnd.choices("abcdefgh", k=6)) for _ in range(200)]
+    texts = [" ".join(base), " ".join([*base[:150], "edited", *base[151:]]), " ".join(reversed(base))]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    left = lambda: {r["doc_id"] for r in P.simhash_stage(spark, df, sf_dir).collect()}
+    plans, plan = [], simhash.plan
+    monkeypatch.setattr(simhash, "plan", lambda *a: plans.append(plan(*a)) or plans[-1])
+    assert left() == {0, 2}
+    assert plans and all(sum(t + 1 for _, t in p) == simhash.forms(3)[0] + 1 for p in plans)
+    monkeypatch.setattr(simhash, "probes", lambda probing: [(0, -1)])
+    assert left() == {0, 1, 2}  # whole fingerprints as the only probes: just what no bit tells apart meets
+
+
+def test_fingerprints_meet_at_the_likeness():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for n in (200, 205_000, 1_000_000):
+        distance, count = simhash.forms(n)
+        widths = [(64 + k) // (distance + 1) for k in range(distance + 1)]
+        starts = np.cumsum([0, *widths])
+        for size, both in ((4, 4), (9, 8), (90, 80), (450, 400)):  # a likeness of 0.8: of 4 and 5, else of equal sizes
+            for _ in range(100):
+                own = rng.integers(0, 1 << 64, 2 * size + 1, dtype=np.uint64)
+                x, y = own[:size], np.concatenate([own[:both], own[size : 2 * size - both + (size == both)]])
+                a, b = (simhash.set_prints(s, count) for s in (x, y))
+                bits = np.unpackbits((a ^ b).astype(">i8").view(np.uint8)).reshape(count, 64)
+                assert (~np.add.reduceat(bits, starts[:-1], axis=1).astype(bool)).any()
+                assert bits[:2].sum() <= simhash.FIRST and bits[: simhash.TESTED].sum() <= simhash.NEAR
+            assert all(int(a[0]) >> k & 1 == (2 * sum(int(h) >> k & 1 for h in x) > len(x)) for k in range(63))
+
+
 def test_simhash_stage_keeps_every_text(spark, sf_dir):
     rnd = random.Random(5)
     x, y, z = (" ".join("".join(rnd.choices("abcdefgh", k=6)) for _ in range(60)) for _ in range(3))
